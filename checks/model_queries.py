@@ -88,7 +88,7 @@ def error_histogram(spark, d):
     return profiling.histogram(errors, F.col("pct_error"), 100)
 
 
-@query("residual_sample", KEY_SPEC + ", price:f3, prediction:f3, error:f3",
+@query("residual_sample", KEY_SPEC + ", price:f3, prediction:f8, error:f8",
        f"SELECT *, price - prediction AS error FROM scored WHERE split = 'test' "
        f"ORDER BY md5(concat_ws('|', 42, {KEYS})), {KEYS} LIMIT 5000")
 def residual_sample(spark, d):
@@ -168,7 +168,7 @@ def request_validation(spark, d):
     return cleaning.validate_requests(i.requests(spark, d), AS_OF_YEAR)
 
 
-@query("confidence_band", KEY_SPEC + ", tier:s, model_key:s, prediction:f2, test_mape:f4, lower:f3, upper:f3", """
+@query("confidence_band", KEY_SPEC + ", tier:s, model_key:s, prediction:f2, test_mape:f4, lower:f6, upper:f6", """
     SELECT *, greatest(prediction * (1 - test_mape / 100), 0) AS lower, prediction * (1 + test_mape / 100) AS upper
     FROM priced""")
 def confidence_band(spark, d):
@@ -217,8 +217,10 @@ def equipment_summary(spark, d):
     return valuation.equipment_summary(i.requests(spark, d), AS_OF_YEAR)
 
 
-@query("ensemble", KEY_SPEC + ", prediction:f3", """
-    SELECT * EXCLUDE (prediction), 0.5 * prediction + 0.3 * price * (0.7 + 0.05 * lot_line) + 0.2 * price * (0.95 + 0.01 * lot_line) AS prediction
+@query("ensemble", KEY_SPEC + ", prediction:f9", """
+    SELECT * EXCLUDE (prediction), 0.5::double * prediction
+        + 0.3::double * (price * (0.7::double + 0.05::double * lot_line))
+        + 0.2::double * (price * (0.95::double + 0.01::double * lot_line)) AS prediction
     FROM scored""")
 def ensemble(spark, d):
     rows = i.scored(spark, d)

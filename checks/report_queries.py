@@ -14,7 +14,7 @@ from .sql import (
 )
 
 
-@query("monthly_sales", "month:d, n_sales:i, median_price:f3",
+@query("monthly_sales", "month:d, n_sales:i, median_price:f6",
        f"SELECT {MONTH} AS month, count(price) AS n_sales, median(price) AS median_price FROM clean "
        f"WHERE {MONTH} >= '2000-01-01' GROUP BY 1")
 def monthly_sales(spark, d):
@@ -68,7 +68,7 @@ def macro_summary(spark, d):
                                      ["barometer", "current_conditions", "capital_investment_index"])
 
 
-@query("field_summary", "n_price:i, min_price:f3, max_price:f3, mean_price:f3, median_price:f3, n_hours:i, "
+@query("field_summary", "n_price:i, min_price:f3, max_price:f3, mean_price:f3, median_price:f6, n_hours:i, "
        "min_hours:f2, max_hours:f2, mean_hours:f2, median_hours:f2, first_date:d, last_date:d, min_year:f0, max_year:f0",
        "SELECT count(price) AS n_price, min(price) FILTER (price > 0) AS min_price, max(price) FILTER (price > 0) AS max_price, "
        "avg(price) FILTER (price > 0) AS mean_price, median(price) FILTER (price > 0) AS median_price, "
@@ -125,7 +125,7 @@ def month_count_summary(spark, d):
     return profiling.month_count_summary(i.lots(spark, d))
 
 
-@query("seasonality", "sale_month:i, median_price:f3",
+@query("seasonality", "sale_month:i, median_price:f6",
        "SELECT month(sold_date) AS sale_month, median(price) AS median_price FROM lots GROUP BY 1")
 def seasonality(spark, d):
     return profiling.seasonality(i.lots(spark, d))
@@ -156,7 +156,7 @@ def age_histogram(spark, d):
     return profiling.histogram(add_age_and_use(i.lots(spark, d, "year", "hours")), F.col("equipment_age"), 50)
 
 
-@query("region_boxplot", "region:s, n:i, q1:f3, median:f3, q3:f3, whisker_low:f3, whisker_high:f3, outliers:i", """
+@query("region_boxplot", "region:s, n:i, q1:f6, median:f6, q3:f6, whisker_low:f3, whisker_high:f3, outliers:i", """
     SELECT region, q1, median, q3, count(*) AS n, min(price) FILTER (price BETWEEN lo AND hi) AS whisker_low,
         max(price) FILTER (price BETWEEN lo AND hi) AS whisker_high, count(*) FILTER (price < lo OR price > hi) AS outliers
     FROM (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
@@ -168,7 +168,7 @@ def region_boxplot(spark, d):
                               "region", "price")
 
 
-@query("dataset_summary", "n_rows:i, min_price:f3, max_price:f3, median_price:f3, first_date:d, last_date:d",
+@query("dataset_summary", "n_rows:i, min_price:f3, max_price:f3, median_price:f6, first_date:d, last_date:d",
        "SELECT count(*) AS n_rows, min(price) AS min_price, max(price) AS max_price, median(price) AS median_price, "
        "min(sold_date) AS first_date, max(sold_date) AS last_date FROM lots")
 def dataset_summary(spark, d):
@@ -230,7 +230,7 @@ def time_split(spark, d):
     return i.split_lots(spark, d)
 
 
-@query("split_summary", "split:s, n_rows:i, min_price:f3, max_price:f3, median_price:f3, first_date:d, last_date:d",
+@query("split_summary", "split:s, n_rows:i, min_price:f3, max_price:f3, median_price:f6, first_date:d, last_date:d",
        "SELECT split, count(*) AS n_rows, min(price) AS min_price, max(price) AS max_price, median(price) AS median_price, "
        "min(sold_date) AS first_date, max(sold_date) AS last_date FROM split_lots GROUP BY 1")
 def split_summary(spark, d):
@@ -242,11 +242,11 @@ def _trend(spark, d):
                                  "make_model_key", "sold_date", i.TIES, "price", bucket=i.bucket())
 
 
-@query("rolling_price_trend", KEY_SPEC + ", make_model_key:s, rolling_mean:f4", "SELECT * FROM trend")
+@query("rolling_price_trend", KEY_SPEC + ", make_model_key:s, rolling_mean:f6", "SELECT * FROM trend")
 def rolling_price_trend(spark, d):
     return _trend(spark, d)
 
 
-@query("price_momentum", KEY_SPEC + ", make_model_key:s, momentum:f4", "SELECT * FROM trend")
+@query("price_momentum", KEY_SPEC + ", make_model_key:s, momentum:f6", "SELECT * FROM trend")
 def price_momentum(spark, d):
     return _trend(spark, d)

@@ -166,7 +166,7 @@ CTES = {
     "split_lots": """SELECT *, CASE
         WHEN position <= floor(total * (1::double - 0.15::double - 0.15::double)) THEN 'train'
         WHEN position <= floor(total * (1::double - 0.15::double)) THEN 'val' ELSE 'test' END AS split FROM ranked""",
-    "scored": """SELECT *, price * (0.8 + 0.02 * lot_line + 0.001 * (lot_part % 50)) AS prediction FROM split_lots""",
+    "scored": """SELECT *, price * (0.8::double + 0.02::double * lot_line + 0.001::double * (lot_part % 50)) AS prediction FROM split_lots""",
     "tiered": f"""
         SELECT t.*, s.tier, s.model_key FROM scored AS t JOIN (
             SELECT {KEYS}, lot_ref, CASE WHEN {CATEGORY_KEY} = 'other' THEN 'generic' ELSE 'category' END AS tier,
@@ -175,7 +175,7 @@ CTES = {
             SELECT {KEYS}, lot_ref, 'make_category', {MAKE_CATEGORY_KEY} FROM scored
             WHERE {MAKE_CATEGORY_KEY} IS NOT NULL) AS s USING ({KEYS}, lot_ref)""",
     "by_method": """SELECT * EXCLUDE (prediction), 'log' AS method, prediction FROM tiered
-        UNION ALL SELECT * EXCLUDE (prediction), 'regular', price * (0.7 + 0.05 * lot_line) FROM tiered""",
+        UNION ALL SELECT * EXCLUDE (prediction), 'regular', price * (0.7::double + 0.05::double * lot_line) FROM tiered""",
     "model_metrics": """SELECT tier, model_key, method, split, count(*) AS n,
         sqrt(avg((price - prediction) * (price - prediction))) AS rmse,
         avg(abs(price - prediction) / abs(price)) * 100 AS mape,

@@ -14,7 +14,7 @@ INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
 def nan_to_null(c: Column) -> Column:
     """Spark sorts NaN above every number; missing values are NULL everywhere in this package."""
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def coerce_number(c: Column, dtype: str) -> Column:

@@ -114,8 +114,7 @@ def _derive_hours_per_year(df: DataFrame, config: FeatureConfig) -> bool:
 def utilization_bucket(hours_per_year: Column) -> Column:
     """Bands open below and closed above: (0,300], (300,600], (600,1000], (1000,...). Zero is in none."""
     h = F.coalesce(hours_per_year, F.lit(DEFAULT_HOURS_PER_YEAR))
-    return (F.when((h > 0) & (h <= 300), "light").when((h > 300) & (h <= 600), "normal")
-             .when((h > 600) & (h <= 1000), "heavy").when(h > 1000, "extreme"))
+    return (F.when(h > 1000, "extreme").when(h > 600, "heavy").when(h > 300, "normal").when(h > 0, "light"))
 
 
 def add_production_status(df: DataFrame) -> DataFrame:

@@ -109,7 +109,8 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    # count(column) is 0 for the NULL group. A filter on a derived column would be copied down into the scan.
+    counts = df.groupBy(column).agg(F.count(column).alias("n")).filter("n > 0")
     ordered = counts.orderBy(F.desc("n"), column)
     return ordered.limit(top) if top else ordered
 

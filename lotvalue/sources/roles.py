@@ -7,6 +7,7 @@ fact columns scans the fact table alone. The expressions are SQL text because th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import Catalog
 
@@ -123,8 +124,15 @@ FUTURES_SQL = """
 FUTURE_SYMBOLS = ["HIGH", "LOW", "MEDIUM", "NOT SPECIFIED", "URGENT"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Its schema is read from the file once per session, not once per scan."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _view(spark: SparkSession, sf_dir: str, available: dict, columns: list[str] | None) -> DataFrame:
