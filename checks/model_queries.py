@@ -25,7 +25,7 @@ REGISTRY_SPEC = ("tier:s, model_key:s, method:s, n_train:i, n_val:i, n_test:i, v
 @query("metrics", "split:s, n:i, rmse:f3, mape:f4, r2:f5", """
     SELECT split, count(*) AS n, sqrt(avg((price - prediction) * (price - prediction))) AS rmse,
         avg(abs(price - prediction) / abs(price)) * 100 AS mape,
-        1 - sum((price - prediction) * (price - prediction)) / (var_pop(price) * count(price)) AS r2
+        1 - sum((price - prediction) * (price - prediction)) / nullif(var_pop(price) * count(price), 0) AS r2
     FROM scored GROUP BY 1""")
 def metrics(spark, d):
     return evaluate.metrics(i.scored(spark, d), ["split"])
@@ -233,7 +233,7 @@ def ensemble(spark, d):
 @query("prediction_monitor", "make_key:s, n:i, rmse:f3, mape:f4, r2:f5", """
     SELECT make_key, count(*) AS n, sqrt(avg((price - prediction) * (price - prediction))) AS rmse,
         avg(abs(price - prediction) / abs(price)) * 100 AS mape,
-        1 - sum((price - prediction) * (price - prediction)) / (var_pop(price) * count(price)) AS r2
+        1 - sum((price - prediction) * (price - prediction)) / nullif(var_pop(price) * count(price), 0) AS r2
     FROM scored WHERE split = 'test' GROUP BY 1""")
 def prediction_monitor(spark, d):
     logged = i.scored(spark, d).filter("split = 'test'").select(*i.TIES, "make_key", "prediction")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# i: whole number, s: text, d: date as text, fN: number rounded to N places.
+# i: whole number, s: text, d: date as text, fN: number rounded to N places. Rounding is spelled out as plain double
+# arithmetic, so that both engines do the same operations and none goes through decimals row by row.
 
 
 def parse(spec: str) -> list[tuple[str, str]]:
@@ -21,7 +22,8 @@ def shaped(df: DataFrame, spec: str) -> DataFrame:
         elif kind == "s":
             c = c.cast("string")
         else:
-            c = F.round(c.cast("double"), int(kind[1:]))
+            scale = F.lit(10.0 ** int(kind[1:]))
+            c = F.floor(c.cast("double") * scale + 0.5) / scale
         return c.alias(name)
 
     return df.select(*[one(n, k) for n, k in parse(spec)])
@@ -35,6 +37,7 @@ def shaped_sql(query: str, spec: str) -> str:
             return f"cast(cast({name} AS date) AS varchar) AS {name}"
         if kind == "s":
             return f"cast({name} AS varchar) AS {name}"
-        return f"round(cast({name} AS double), {kind[1:]}) AS {name}"
+        scale = f"{10 ** int(kind[1:])}::double"
+        return f"floor(cast({name} AS double) * {scale} + 0.5::double) / {scale} AS {name}"
 
     return f"SELECT {', '.join(one(n, k) for n, k in parse(spec))} FROM ({query}) AS shaped"

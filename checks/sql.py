@@ -179,7 +179,7 @@ CTES = {
     "model_metrics": """SELECT tier, model_key, method, split, count(*) AS n,
         sqrt(avg((price - prediction) * (price - prediction))) AS rmse,
         avg(abs(price - prediction) / abs(price)) * 100 AS mape,
-        1 - sum((price - prediction) * (price - prediction)) / (var_pop(price) * count(price)) AS r2
+        1 - sum((price - prediction) * (price - prediction)) / nullif(var_pop(price) * count(price), 0) AS r2
         FROM by_method GROUP BY ALL""",
     "registry": "SELECT tier, model_key, method, " + ", ".join(
         [f"coalesce(max(CASE WHEN split = '{s}' THEN n END), 0) AS n_{s}" for s in ("train", "val", "test")]

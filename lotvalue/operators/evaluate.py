@@ -13,13 +13,14 @@ ERROR_BANDS = (5, 10, 20, 33, 50)
 
 
 def metrics(scored: DataFrame, keys: list[str], actual: str = "price", predicted: str = "prediction") -> DataFrame:
-    """n, RMSE, MAPE (in percent) and R2 per group."""
+    """n, RMSE, MAPE (in percent) and R2 per group. R2 is NULL where all prices of a group are equal."""
     y, e = F.col(actual), F.col(actual) - F.col(predicted)
     squared = F.sum(e * e)
     spread = F.var_pop(y) * F.count(y)
     return scored.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        (F.avg(F.abs(e) / F.abs(y)) * 100).alias("mape"), (1 - squared / spread).alias("r2"))
+        (F.avg(F.try_divide(F.abs(e), F.abs(y))) * 100).alias("mape"),
+        (1 - F.try_divide(squared, spread)).alias("r2"))
 
 
 def goal_check(registry: DataFrame, prefix: str = "test_") -> DataFrame:
@@ -34,7 +35,7 @@ def goal_check(registry: DataFrame, prefix: str = "test_") -> DataFrame:
 def with_errors(scored: DataFrame, actual: str = "price", predicted: str = "prediction") -> DataFrame:
     error = F.col(actual) - F.col(predicted)
     return scored.withColumns({"error": error, "abs_error": F.abs(error),
-                               "pct_error": F.abs(error / F.col(actual) * 100)})
+                               "pct_error": F.abs(F.try_divide(error, F.col(actual)) * 100)})
 
 
 def error_analysis(scored: DataFrame, bands=ERROR_BANDS) -> DataFrame:
@@ -66,5 +67,5 @@ def error_ecdf(scored: DataFrame, step: float = 0.5, limit: float = 50.0) -> Dat
     n = F.coalesce("n", F.lit(0))
     return (grid.join(counts, "bin", "left")
                 .select((F.col("bin") * step).alias("pct_error"), F.sum(n).over(ordered).alias("n_upto"),
-                        (F.sum(n).over(ordered) / F.sum(n).over(every) * 100).alias("cumulative_pct"), "bin")
+                        (F.try_divide(F.sum(n).over(ordered), F.sum(n).over(every)) * 100).alias("cumulative_pct"), "bin")
                 .filter(F.col("bin") <= steps).drop("bin"))

@@ -60,7 +60,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     rows = F.array(*[
         F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("dtype"),
                  F.col(f"{name}__n").alias("non_null"), (F.col("total") - F.col(f"{name}__n")).alias("null_count"),
-                 F.round(F.col(f"{name}__n") / F.col("total") * 100, 1).alias("coverage_pct"),
+                 F.round(F.try_divide(F.col(f"{name}__n"), F.col("total")) * 100, 1).alias("coverage_pct"),
                  F.col(f"{name}__d").alias("n_distinct"))
         for name, kind in df.dtypes
     ])
@@ -133,7 +133,7 @@ def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     counted = df.agg(F.count("*").alias("total"), *[F.count(c).alias(f"n_{c}") for c in columns])
     rows = F.array(*[
         F.struct(F.lit(c).alias("feature"), (F.col("total") - F.col(f"n_{c}")).alias("missing_count"),
-                 F.round((F.col("total") - F.col(f"n_{c}")) / F.col("total") * 100, 1).alias("missing_pct"))
+                 F.round(F.try_divide(F.col("total") - F.col(f"n_{c}"), F.col("total")) * 100, 1).alias("missing_pct"))
         for c in columns])
     return (counted.select(F.inline(rows)).filter("missing_count > 0")
                    .orderBy(F.desc("missing_count"), "feature"))

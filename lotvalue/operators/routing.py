@@ -92,7 +92,8 @@ def method_improvement(registry: DataFrame) -> DataFrame:
     by_model = registry.groupBy("tier", "model_key").agg(*[
         F.max(F.when(F.col("method") == m, F.col("test_mape"))).alias(f"{m}_mape") for m in METHODS])
     both = by_model.filter(F.col("regular_mape").isNotNull() & F.col("log_mape").isNotNull())
-    return both.withColumn("gain_pct", (F.col("regular_mape") - F.col("log_mape")) / F.col("regular_mape") * 100)
+    return both.withColumn(
+        "gain_pct", F.try_divide(F.col("regular_mape") - F.col("log_mape"), F.col("regular_mape")) * 100)
 
 
 def specific_improvement(registry: DataFrame, rules_to_category: DataFrame, method: str = "log") -> DataFrame:
@@ -103,7 +104,7 @@ def specific_improvement(registry: DataFrame, rules_to_category: DataFrame, meth
     general = one.filter(F.col("tier") == "category").select(
         F.col("model_key").alias("category_key"), F.col("test_mape").alias("general_mape"))
     return (specific.join(rules_to_category, "make_category_key").join(general, "category_key")
-                    .withColumn("change_pct", (F.col("specific_mape") / F.col("general_mape") - 1) * 100))
+                    .withColumn("change_pct", (F.try_divide("specific_mape", "general_mape") - 1) * 100))
 
 
 def ensemble(predictions: DataFrame, keys: list[str], weights: dict = ENSEMBLE_WEIGHTS) -> DataFrame:

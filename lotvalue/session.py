@@ -20,6 +20,9 @@ def build_session(app_name: str = "lotvalue", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Wide projections compile to methods over 8,000 bytecodes, which the JVM would leave to its interpreter.
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

@@ -81,6 +81,12 @@ REQUEST_COLUMNS = {
     "diesel_price": ("CASE WHEN l_linenumber = 4 THEN NULL ELSE 0.5 + l_discount * 100 END", ()),
 }
 
+# Columns that read one dimension only. They are computed on its rows, before the join.
+OWNERS = {
+    "make_key": "part", "make_model_key": "part", "raw_model": "part", "raw_category": "part", "make": "part",
+    "category": "part", "raw_condition": "orders", "condition": "orders", "state": "nation", "region": "region",
+}
+
 # dimension -> (its key, the key that points at it), in join order
 DIMENSIONS = {
     "part": ("p_partkey", "l_partkey"),
@@ -138,11 +144,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _view(spark: SparkSession, sf_dir: str, available: dict, columns: list[str] | None) -> DataFrame:
     columns = columns or list(available)
     needed = {dim for c in columns for dim in available[c][1]}
+    owned = {c: OWNERS[c] for c in columns if c in OWNERS}
     df = table(spark, sf_dir, "lineitem")
     for dim, (key, pointer) in DIMENSIONS.items():
         if dim in needed:
-            df = df.join(table(spark, sf_dir, dim), F.col(key) == F.col(pointer), "left")
-    return df.selectExpr(*[f"{available[c][0]} AS {c}" for c in columns])
+            extra = [f"{available[c][0]} AS {c}" for c, owner in owned.items() if owner == dim]
+            df = df.join(table(spark, sf_dir, dim).selectExpr("*", *extra), F.col(key) == F.col(pointer), "left")
+    return df.selectExpr(*[c if c in owned else f"{available[c][0]} AS {c}" for c in columns])
 
 
 def auctions(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
