@@ -49,9 +49,13 @@ def feature_columns() -> tuple[list[str], list[str]]:
 # -- row features ----------------------------------------------------------------------------------------------
 
 def parse_specs(specs: Column) -> Column:
-    """Hash notation to a struct: '=>' becomes ':', 'nil' becomes 'null'. Malformed text gives NULL fields."""
+    """Hash notation to a struct: '=>' becomes ':', 'nil' becomes 'null'. Malformed text gives NULL fields.
+
+    Text that is not enclosed in braces is no object and is not handed to the parser, whose errors are costly.
+    """
     text = F.replace(F.replace(specs, F.lit("=>"), F.lit(":")), F.lit("nil"), F.lit("null"))
-    return F.from_json(text, SPECS_DDL, {"allowSingleQuotes": "false"})
+    enclosed = text.rlike(r"^\s*\{") & text.rlike(r"\}\s*$")
+    return F.when(enclosed, F.from_json(text, SPECS_DDL, {"allowSingleQuotes": "false"}))
 
 
 def parsed_horsepower(specs: Column) -> Column:

@@ -8,7 +8,7 @@ from ..functions.columns import coerce_number, coerce_timestamp, share, text_key
 from ..session import materialize
 from .cleaning import MAX_HOURS, MIN_YEAR
 from .joins import lookup_join
-from .quantiles import sized_group_quantiles
+from .quantiles import sized_group_quantiles, stacked
 
 MEDIAN_AGE = 7          # fixed value: age assumed where the model year is missing
 EVERYTHING = "*"
@@ -20,10 +20,9 @@ def median_levels(df: DataFrame, levels: dict, value: str, weight: str | None =
 
     ``levels`` maps a level name to its key column; a literal key gives the median over everything.
     """
-    pairs = F.array(*[F.struct(F.lit(n).alias("level"), k.cast("string").alias("key")) for n, k in levels.items()])
-    carried = [value] + ([weight] if weight else [])
-    found, n = sized_group_quantiles(df.select(F.inline(pairs), *carried), ["level", "key"],
-                                     {value: F.col(value)}, [0.5], weight=weight, **options)
+    variants = [[F.lit(n).alias("level"), k.cast("string").alias("key")] for n, k in levels.items()]
+    rows = stacked(df, variants, [value] + ([weight] if weight else []))
+    found, n = sized_group_quantiles(rows, ["level", "key"], {value: F.col(value)}, [0.5], weight=weight, **options)
     return found.select("level", "key", F.col("q0").alias("median"), "n_values"), n
 
 

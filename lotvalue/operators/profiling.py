@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import month_key
 from ..functions.rules import CATEGORY_RULES, OTHER, category_memberships
 from .joins import lookup_join
-from .quantiles import group_medians, group_quantiles, sized_group_quantiles
+from .quantiles import group_medians, group_quantiles, sized_group_quantiles, stored_value_counts
 
 
 def _with_medians(df: DataFrame, keys: list[str], aggregates: list[Column], medians: dict) -> DataFrame:
@@ -160,17 +160,16 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
 def box_plot(df: DataFrame, key: str, value: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends and outlier count per group."""
     rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
-    found, n_groups = sized_group_quantiles(rows, [key], {value: F.col(value)}, [0.25, 0.5, 0.75])
+    tally = stored_value_counts(rows, [key], {value: F.col(value)})      # joined below: one row per distinct value
+    found, n_groups = sized_group_quantiles(rows, [key], {value: F.col(value)}, [0.25, 0.5, 0.75], counted=tally)
     quartiles = found.select(key, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"),
                              F.col("n_values").alias("_weight"))
-    # Counting per (group, value) first keeps the join small however large the groups are.
-    tally = rows.groupBy(key, value).agg(F.count("*").alias("n"))
     reach = (F.col("q3") - F.col("q1")) * whisker
-    inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
+    inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     joined = lookup_join(tally, quartiles, [key], n_groups, weight="_weight")
     return joined.groupBy(key, "q1", "median", "q3").agg(
-        F.sum("n").alias("n"), F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
+        F.sum("n").alias("n"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outliers"))
 
 

@@ -10,33 +10,43 @@ from ..session import materialize
 MAX_VALUES_PER_GROUP = 2_000_000
 
 
+def stacked(df: DataFrame, variants: list[list], carried: list) -> DataFrame:
+    """Each row once per variant: the carried columns plus the variant's. A single variant needs no generator."""
+    if len(variants) == 1:
+        return df.select(*carried, *variants[0])
+    return df.select(*carried, F.inline(F.array(*[F.struct(*v) for v in variants])))
+
+
 def value_counts_long(df: DataFrame, keys: list[str], measures: dict, weight: str | None = None) -> DataFrame:
     """(keys, measure, value) -> n for several measures in one scan; missing keys and values are left out.
 
     The shuffle key includes the value, so a hot group is spread over all tasks. ``weight`` names a column that
     says how many rows an input row stands for.
     """
-    pairs = F.array(*[
-        F.struct(F.lit(name).alias("measure"), expr.cast("double").alias("value")) for name, expr in measures.items()
-    ])
+    pairs = [[F.lit(name).alias("measure"), expr.cast("double").alias("value")] for name, expr in measures.items()]
     rows = df.dropna(subset=keys) if keys else df
     times = F.col(weight) if weight else F.lit(1)
-    return (rows.select(*keys, times.cast("bigint").alias("times"), F.inline(pairs))
+    return (stacked(rows, pairs, [*keys, times.cast("bigint").alias("times")])
                 .filter(F.col("value").isNotNull())
                 .groupBy(*keys, "measure", "value").agg(F.sum("times").alias("n")))
 
 
+def stored_value_counts(df: DataFrame, keys: list[str], measures: dict, weight: str | None = None) -> DataFrame:
+    return materialize(value_counts_long(df, keys, measures, weight), "value-counts")
+
+
 def sized_group_quantiles(df: DataFrame, keys: list[str], measures: dict, probs: list[float],
-                          weight: str | None = None,
+                          weight: str | None = None, counted: DataFrame | None = None,
                           max_values: int = MAX_VALUES_PER_GROUP) -> tuple[DataFrame, int]:
     """keys, measure, n_values, one column ``q0..qk`` per probability; and the number of groups.
 
-    Positions between two values are interpolated linearly.
+    Positions between two values are interpolated linearly. ``counted`` passes value counts that are stored already.
 
     Distinct values are counted first. When every group is small the built-in percentile finishes the work;
     otherwise values are range-sorted across tasks and each wanted position is found by its running count.
     """
-    counted = materialize(value_counts_long(df, keys, measures, weight), "value-counts")
+    if counted is None:
+        counted = stored_value_counts(df, keys, measures, weight)
     group = [*keys, "measure"]
     largest, n_groups = counted.groupBy(*group).count().agg(F.max("count"), F.count("*")).first()
     if (largest or 0) > max_values:

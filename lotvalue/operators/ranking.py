@@ -49,12 +49,20 @@ def split_fractions(val: float, test: float) -> tuple[float, float]:
     return 1 - val - test, 1 - test
 
 
-def time_split(df: DataFrame, date: str, ties: list[str], val: float = 0.15, test: float = 0.15,
+def _order(ties: list[str]) -> Column:
+    return F.struct("_day", "_bucket", *ties)
+
+
+def _label(first_val: Column, first_test: Column, ties: list[str]) -> Column:
+    order = _order(ties)
+    return F.when(order < first_val, "train").when(order < first_test, "val").otherwise("test")
+
+
+def split_cuts(df: DataFrame, date: str, ties: list[str], val: float = 0.15, test: float = 0.15,
                bucket: Column | None = None) -> DataFrame:
-    """Adds ``split``: the earliest rows train, the next validate, the latest test.
+    """One row with the place of the first validation row and of the first test row.
 
-    Only the two rows at the cuts are ranked; every other row is compared with them. ``ties`` must tell rows
-    apart for exact sizes: rows equal in date, bucket and all ties fall on the same side of a cut.
+    Counts per cell find the two cells that hold the cuts; only the rows of those two cells are ranked.
     """
     before_val, before_test = split_fractions(val, test)
     cells = _cells(df, date, ties, bucket)
@@ -66,17 +74,37 @@ def time_split(df: DataFrame, date: str, ties: list[str], val: float = 0.15, tes
             F.struct(F.lit("test").alias("_cut"), F.floor(F.col("_total") * F.lit(before_test)).alias("_at")))))
         .filter((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_n")))
         .drop("_n"))
-    order = F.struct("_day", "_bucket", *ties)
     inside = Window.partitionBy("_cut").orderBy(*ties)
-    cuts = (cells.join(F.broadcast(cut_cells), ["_day", "_bucket"])      # two cells at most
+    return (cells.join(F.broadcast(cut_cells), ["_day", "_bucket"])      # two cells at most
         .withColumn("_row", F.row_number().over(inside) - 1)
         .filter(F.col("_row") == F.col("_at") - F.col("_start"))
-        .agg(F.max(F.when(F.col("_cut") == "val", order)).alias("_first_val"),
-             F.max(F.when(F.col("_cut") == "test", order)).alias("_first_test")))
-    label = (F.when(order < F.col("_first_val"), "train").when(order < F.col("_first_test"), "val")
-              .otherwise("test"))
-    return (cells.crossJoin(F.broadcast(cuts)).withColumn("split", label)
-                 .drop("_day", "_bucket", "_first_val", "_first_test"))
+        .agg(F.max(F.when(F.col("_cut") == "val", _order(ties))).alias("_first_val"),
+             F.max(F.when(F.col("_cut") == "test", _order(ties))).alias("_first_test")))
+
+
+def time_split(df: DataFrame, date: str, ties: list[str], val: float = 0.15, test: float = 0.15,
+               bucket: Column | None = None) -> DataFrame:
+    """Adds ``split``: the earliest rows train, the next validate, the latest test.
+
+    Every row is compared with the two cuts, so rows are neither sorted nor moved. ``ties`` must tell rows apart
+    for exact sizes: rows equal in date, bucket and all ties fall on the same side of a cut.
+    """
+    cuts = split_cuts(df, date, ties, val, test, bucket)
+    labelled = _cells(df, date, ties, bucket).crossJoin(F.broadcast(cuts)).withColumn(      # one row
+        "split", _label(F.col("_first_val"), F.col("_first_test"), ties))
+    return labelled.drop("_day", "_bucket", "_first_val", "_first_test")
+
+
+def apply_cuts(df: DataFrame, cuts, date: str, ties: list[str], bucket: Column | None = None) -> DataFrame:
+    """``time_split`` with cuts already fetched (the row of ``split_cuts``): a plain CASE, for tables read often."""
+    cells = _cells(df, date, ties, bucket)
+    types = dict(cells.dtypes)
+
+    def fixed(place) -> Column:
+        return F.struct(*[F.lit(place[c]).cast(types[c]).alias(c) for c in ("_day", "_bucket", *ties)])
+
+    return cells.withColumn("split", _label(fixed(cuts["_first_val"]), fixed(cuts["_first_test"]), ties)
+                            ).drop("_day", "_bucket")
 
 
 def rolling_trend(df: DataFrame, key: str, date: str, ties: list[str], value: str, window: int = 6, lag: int = 6,

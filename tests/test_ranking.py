@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lotvalue.operators.ranking import positional_rank, rolling_trend, split_fractions, time_split
+from lotvalue.operators.ranking import (
+    apply_cuts, positional_rank, rolling_trend, split_cuts, split_fractions, time_split,
+)
 
 START = dt.datetime(2020, 1, 1)
 
@@ -37,6 +39,9 @@ def test_split_follows_rank(spark):
     bucket = F.pmod(F.col("id"), F.lit(4))
     ranks = positional_rank(df, "sold_date", ["id"], bucket=bucket)
     split = time_split(df, "sold_date", ["id"], bucket=bucket).select("id", "split")
+    cuts = split_cuts(df, "sold_date", ["id"], bucket=bucket).first()
+    fetched = apply_cuts(df, cuts, "sold_date", ["id"], bucket).select("id", "split")
+    assert fetched.exceptAll(split).isEmpty() and split.exceptAll(fetched).isEmpty()
     rows = ranks.join(split, "id").orderBy("position").collect()
     assert [r.position for r in rows] == list(range(1, 201))
     assert [r["split"] for r in rows] == ["train"] * 140 + ["val"] * 30 + ["test"] * 30
