@@ -11,7 +11,7 @@ from ..functions.columns import clip, coerce_number
 from ..functions.rules import condition_grade, condition_score, hp_segment
 from ..session import materialize
 from .impute import cascade_horsepower, horsepower_medians
-from .joins import lookup_join
+from .joins import lookup_join, row_bytes, table_bytes
 
 # The model inputs, in order.
 CATEGORICAL = ["make_model_key", "region", "utilization_bucket", "raw_category", "condition"]
@@ -202,13 +202,16 @@ class FeaturePipeline:
         wanted = [*RARE_CHECKED, "raw_model"] + ([] if "make_model_key" in df.columns else ["make_key"])
         features = [f for f in wanted if f in df.columns]
         levels = materialize(frequency_table(df, features), "levels")
-        sizes = {r["feature"]: r["count"] for r in levels.groupBy("feature").count().collect()}   # one per feature
+        measured = levels.groupBy("feature").agg(F.count("*").alias("n"), F.sum(row_bytes(levels)).alias("size"))
+        found = {r["feature"]: r for r in measured.collect()}                                     # one per feature
+        counts = {f: found[f]["n"] if f in found else 0 for f in features}
+        sizes = {f: found[f]["size"] if f in found else 0 for f in features}
         stats = {k: v for k, v in fit_statistics(df).first().asDict().items() if k in UNFITTED}
-        medians, n = None, 0
+        medians, hp_size = None, 0
         if self.config.horsepower_scope == "fitted" and "specs" in df.columns:
-            medians, n = horsepower_medians(df.withColumn("horsepower", parsed_horsepower(F.col("specs"))))
+            medians, hp_size = horsepower_medians(df.withColumn("horsepower", parsed_horsepower(F.col("specs"))))
             medians = materialize(medians, "horsepower-medians")
-        return FittedFeatures(self.config, stats, levels, {f: sizes.get(f, 0) for f in features}, medians, n)
+        return FittedFeatures(self.config, stats, levels, counts, sizes, medians, hp_size)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
@@ -221,9 +224,10 @@ class FittedFeatures:
     config: FeatureConfig
     stats: dict
     levels: DataFrame
-    sizes: dict
+    counts: dict                            # levels per feature
+    sizes: dict                             # bytes per feature
     hp_medians: DataFrame | None = None
-    n_hp_medians: int = 0
+    hp_size: int = 0
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.add_horsepower(df)
@@ -234,10 +238,10 @@ class FittedFeatures:
         if "specs" not in df.columns:
             return df.withColumn("horsepower", F.lit(DEFAULT_HORSEPOWER))
         parsed = df.withColumn("horsepower", parsed_horsepower(F.col("specs")))
-        medians, n = self.hp_medians, self.n_hp_medians
+        medians, size = self.hp_medians, self.hp_size
         if medians is None:
-            medians, n = horsepower_medians(parsed)
-        return cascade_horsepower(parsed, medians, n, DEFAULT_HORSEPOWER)
+            medians, size = horsepower_medians(parsed)
+        return cascade_horsepower(parsed, medians, size, DEFAULT_HORSEPOWER)
 
     def _with_count(self, df: DataFrame, feature: str) -> DataFrame:
         table = self.levels.filter(F.col("feature") == feature).select(
@@ -246,7 +250,7 @@ class FittedFeatures:
 
     def add_levels(self, df: DataFrame) -> DataFrame:
         """Volumes from the original keys first, then rare and missing levels become 'other'."""
-        present = [f for f in self.sizes if f in df.columns]
+        present = [f for f in self.counts if f in df.columns]
         out = df
         for feature in present:
             out = self._with_count(out, feature)
@@ -255,7 +259,7 @@ class FittedFeatures:
             if feature in present:
                 new["make_volume"] = F.coalesce(f"_n_{feature}", F.lit(1))
                 break
-        has_models = "raw_model" in present and self.sizes["raw_model"] > 0
+        has_models = "raw_model" in present and self.counts["raw_model"] > 0
         new["model_volume"] = F.coalesce("_n_raw_model", F.lit(1)) if has_models else F.lit(1)
         out = out.withColumns(new)
         logs = {"log_model_volume": F.log1p("model_volume") if has_models else F.lit(0.0)}
@@ -275,8 +279,8 @@ class FittedFeatures:
         spark = self.levels.sparkSession
         if self.hp_medians is not None:
             self.hp_medians.write.mode("overwrite").parquet(f"{path}/horsepower")
-        state = {"config": asdict(self.config), "stats": self.stats, "sizes": self.sizes,
-                 "n_hp_medians": self.n_hp_medians, "has_hp_medians": self.hp_medians is not None}
+        state = {"config": asdict(self.config), "stats": self.stats, "counts": self.counts, "sizes": self.sizes,
+                 "hp_size": self.hp_size, "has_hp_medians": self.hp_medians is not None}
         spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/state")
 
@@ -285,7 +289,7 @@ class FittedFeatures:
         state = json.loads(spark.read.text(f"{path}/state").first()[0])
         medians = spark.read.parquet(f"{path}/horsepower") if state["has_hp_medians"] else None
         return FittedFeatures(FeatureConfig(**state["config"]), state["stats"], spark.read.parquet(f"{path}/levels"),
-                              state["sizes"], medians, state["n_hp_medians"])
+                              state["counts"], state["sizes"], medians, state["hp_size"])
 
 
 def with_scope(fitted: FittedFeatures, **changes) -> FittedFeatures:
@@ -296,5 +300,5 @@ def model_volume_by_make(df: DataFrame) -> DataFrame:
     """Sales per (make, model), attached to every lot; documented as an alternative to the volume by model."""
     keys = ["make_key", "raw_model"]
     volumes = materialize(df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("model_volume")), "volumes")
-    joined = lookup_join(df, volumes, keys, volumes.count(), weight="model_volume")
+    joined = lookup_join(df, volumes, keys, table_bytes(volumes), weight="model_volume")
     return joined.withColumn("model_volume", F.coalesce("model_volume", F.lit(0)))

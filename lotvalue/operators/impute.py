@@ -16,27 +16,27 @@ EVERYTHING = "*"
 
 def median_levels(df: DataFrame, levels: dict, value: str, weight: str | None = None,
                   **options) -> tuple[DataFrame, int]:
-    """(level, key) -> median for several groupings in one scan, and the number of groups.
+    """(level, key) -> median for several groupings in one scan, and the size of that table in bytes.
 
     ``levels`` maps a level name to its key column; a literal key gives the median over everything.
     """
     variants = [[F.lit(n).alias("level"), k.cast("string").alias("key")] for n, k in levels.items()]
     rows = stacked(df, variants, [value] + ([weight] if weight else []))
-    found, n = sized_group_quantiles(rows, ["level", "key"], {value: F.col(value)}, [0.5], weight=weight, **options)
-    return found.select("level", "key", F.col("q0").alias("median"), "n_values"), n
+    found, size = sized_group_quantiles(rows, ["level", "key"], {value: F.col(value)}, [0.5], weight=weight, **options)
+    return found.select("level", "key", F.col("q0").alias("median"), "n_values"), size
 
 
-def join_level(df: DataFrame, medians: DataFrame, n: int, level: str, on: str, name: str) -> DataFrame:
+def join_level(df: DataFrame, medians: DataFrame, size: int, level: str, on: str, name: str) -> DataFrame:
     """Adds the level's median as column ``name``."""
     table = medians.filter(F.col("level") == level).select(
         F.col("key").alias(on), F.col("median").alias(name), F.col("n_values").alias("_weight"))
-    return lookup_join(df, table, [on], n, weight="_weight").drop("_weight")
+    return lookup_join(df, table, [on], size, weight="_weight").drop("_weight")
 
 
 def group_median_column(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """The median of ``value`` within the row's group, on every row of the group."""
-    medians, n = median_levels(df, {"group": F.col(key)}, value)
-    return join_level(df, medians, n, "group", key, name)
+    medians, size = median_levels(df, {"group": F.col(key)}, value)
+    return join_level(df, medians, size, "group", key, name)
 
 
 def _overall(medians: DataFrame, name: str) -> DataFrame:
@@ -48,13 +48,13 @@ def impute_hours(df: DataFrame, keep_parts: bool = False) -> DataFrame:
     levels = {"category": F.col("raw_category"), "all": F.lit(EVERYTHING)}
     if "make_model_key" in df.columns:
         levels["model"] = F.col("make_model_key")
-    medians, n = median_levels(df, levels, "hours")
+    medians, size = median_levels(df, levels, "hours")
     filled = df
     if "model" in levels:
-        filled = join_level(filled, medians, n, "model", "make_model_key", "hours_by_model")
+        filled = join_level(filled, medians, size, "model", "make_model_key", "hours_by_model")
     else:
         filled = filled.withColumn("hours_by_model", F.lit(None).cast("double"))
-    filled = join_level(filled, medians, n, "category", "raw_category", "hours_by_category")
+    filled = join_level(filled, medians, size, "category", "raw_category", "hours_by_category")
     filled = filled.crossJoin(F.broadcast(_overall(medians, "hours_overall")))      # one row
     filled = filled.withColumn("hours", F.coalesce("hours", "hours_by_model", "hours_by_category", "hours_overall"))
     return filled if keep_parts else filled.drop("hours_by_model", "hours_by_category", "hours_overall")
@@ -102,16 +102,16 @@ def horsepower_medians(df: DataFrame) -> tuple[DataFrame, int]:
     """
     counts = materialize(
         df.groupBy("make_model_key", "raw_category", "horsepower").agg(F.count("*").alias("n")), "horsepower")
-    by_model, n_model = median_levels(counts, {"model": F.col("make_model_key")}, "horsepower", weight="n")
-    filled = join_level(counts, by_model, n_model, "model", "make_model_key", "_model")
+    by_model, size_model = median_levels(counts, {"model": F.col("make_model_key")}, "horsepower", weight="n")
+    filled = join_level(counts, by_model, size_model, "model", "make_model_key", "_model")
     filled = filled.withColumn("horsepower", F.coalesce("horsepower", "_model"))
-    by_category, n_category = median_levels(filled, {"category": F.col("raw_category")}, "horsepower", weight="n")
-    return by_model.unionByName(by_category), max(n_model, n_category)
+    by_category, size_category = median_levels(filled, {"category": F.col("raw_category")}, "horsepower", weight="n")
+    return by_model.unionByName(by_category), max(size_model, size_category)
 
 
-def cascade_horsepower(df: DataFrame, medians: DataFrame, n: int, default: float) -> DataFrame:
-    filled = join_level(df, medians, n, "model", "make_model_key", "_hp_model")
-    filled = join_level(filled, medians, n, "category", "raw_category", "_hp_category")
+def cascade_horsepower(df: DataFrame, medians: DataFrame, size: int, default: float) -> DataFrame:
+    filled = join_level(df, medians, size, "model", "make_model_key", "_hp_model")
+    filled = join_level(filled, medians, size, "category", "raw_category", "_hp_category")
     return filled.withColumn(
         "horsepower", F.coalesce("horsepower", "_hp_model", "_hp_category", F.lit(default))
     ).drop("_hp_model", "_hp_category")
@@ -121,6 +121,6 @@ def hours_by_make_and_age(df: DataFrame) -> DataFrame:
     """Fills hours with the median of lots of the same make and age; documented as an alternative."""
     pair = F.concat_ws("|", "make_key", F.col("equipment_age").cast("string"))
     keyed = df.withColumn("_make_age", F.when(F.col("make_key").isNotNull() & F.col("equipment_age").isNotNull(), pair))
-    medians, n = median_levels(keyed, {"make_age": F.col("_make_age")}, "hours")
-    joined = join_level(keyed, medians, n, "make_age", "_make_age", "hours_make_age")
+    medians, size = median_levels(keyed, {"make_age": F.col("_make_age")}, "hours")
+    joined = join_level(keyed, medians, size, "make_age", "_make_age", "hours_make_age")
     return joined.withColumn("hours_imputed", F.coalesce("hours", "hours_make_age")).drop("_make_age")

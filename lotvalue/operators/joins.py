@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import month_key
-from ..session import BROADCAST_MAX_ROWS, materialize
+from ..session import BROADCAST_MAX_BYTES, materialize
 from .cleaning import standardise_makes
 
 HOT_SHARE = 0.001      # a key holding more than this share of all rows is spread over several tasks
@@ -22,17 +22,27 @@ MAKE_COLUMNS = {
 }
 
 
-def lookup_join(fact: DataFrame, lookup: DataFrame, on: list[str], n_rows: int, weight: str | None = None,
-                max_broadcast: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Left join with a lookup table of known size.
+def row_bytes(df: DataFrame) -> Column:
+    """Memory a row takes, from above: 16 bytes per column and the length of its texts."""
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in df.dtypes if kind == "string"]
+    return reduce(lambda a, b: a + b, texts, F.lit(16 * len(df.columns))).cast("bigint")
 
-    A table of at most ``max_broadcast`` rows is broadcast and the fact rows stay where they are. A larger one
+
+def table_bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
+
+
+def lookup_join(fact: DataFrame, lookup: DataFrame, on: list[str], size: int, weight: str | None = None,
+                max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Left join with a lookup table whose size in bytes was measured.
+
+    A table of at most ``max_broadcast`` bytes is broadcast and the fact rows stay where they are. A larger one
     is joined by shuffle. Then the rows of hot keys, and rows without a key, are spread by a hash of the whole
     row, and the lookup rows of hot keys are repeated once per salt. ``weight`` names the lookup column that
     holds the number of fact rows per key; at most 1/HOT_SHARE keys can exceed that share of the total, which
     bounds the broadcast of hot keys.
     """
-    if n_rows <= max_broadcast:
+    if size <= max_broadcast:
         return fact.join(F.broadcast(lookup), on, "left")
     if weight is None:
         return fact.join(lookup, on, "left")   # Spark's own skew-join handling splits large partitions
@@ -53,7 +63,7 @@ def lookup_join(fact: DataFrame, lookup: DataFrame, on: list[str], n_rows: int,
 
 def _sized(table: DataFrame, label: str) -> tuple[DataFrame, int]:
     stored = materialize(table, label)
-    return stored, stored.count()
+    return stored, table_bytes(stored)
 
 
 def makes_dimension(makes: DataFrame) -> DataFrame:
@@ -64,8 +74,8 @@ def makes_dimension(makes: DataFrame) -> DataFrame:
 
 def join_makes(lots: DataFrame, makes: DataFrame) -> DataFrame:
     """Left join on make_key. Duplicate keys in ``makes`` multiply rows; see ``duplicate_keys``."""
-    dimension, n = _sized(makes_dimension(makes), "makes")
-    return lookup_join(lots, dimension, ["make_key"], n)
+    dimension, size = _sized(makes_dimension(makes), "makes")
+    return lookup_join(lots, dimension, ["make_key"], size)
 
 
 def duplicate_keys(table: DataFrame, key: str) -> DataFrame:
@@ -139,8 +149,8 @@ def join_calendar(lots: DataFrame, calendar: DataFrame | None) -> DataFrame:
     keyed = lots.withColumn("month_key", month_key(F.col("sold_date")))
     if calendar is None:
         return keyed
-    stored, n = _sized(calendar, "calendar")
-    return lookup_join(keyed, stored, ["month_key"], n)
+    stored, size = _sized(calendar, "calendar")
+    return lookup_join(keyed, stored, ["month_key"], size)
 
 
 def join_macro(lots: DataFrame, barometer=None, diesel=None, el_nino=None, futures=None,

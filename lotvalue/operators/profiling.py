@@ -161,12 +161,12 @@ def box_plot(df: DataFrame, key: str, value: str, whisker: float = 1.5) -> DataF
     """Quartiles, whisker ends and outlier count per group."""
     rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
     tally = stored_value_counts(rows, [key], {value: F.col(value)})      # joined below: one row per distinct value
-    found, n_groups = sized_group_quantiles(rows, [key], {value: F.col(value)}, [0.25, 0.5, 0.75], counted=tally)
+    found, size = sized_group_quantiles(rows, [key], {value: F.col(value)}, [0.25, 0.5, 0.75], counted=tally)
     quartiles = found.select(key, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"),
                              F.col("n_values").alias("_weight"))
     reach = (F.col("q3") - F.col("q1")) * whisker
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
-    joined = lookup_join(tally, quartiles, [key], n_groups, weight="_weight")
+    joined = lookup_join(tally, quartiles, [key], size, weight="_weight")
     return joined.groupBy(key, "q1", "median", "q3").agg(
         F.sum("n").alias("n"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
+from .joins import row_bytes
 
 # Largest number of distinct values of one group that a single aggregation buffer may hold.
 MAX_VALUES_PER_GROUP = 2_000_000
@@ -38,7 +39,7 @@ def stored_value_counts(df: DataFrame, keys: list[str], measures: dict, weight:
 def sized_group_quantiles(df: DataFrame, keys: list[str], measures: dict, probs: list[float],
                           weight: str | None = None, counted: DataFrame | None = None,
                           max_values: int = MAX_VALUES_PER_GROUP) -> tuple[DataFrame, int]:
-    """keys, measure, n_values, one column ``q0..qk`` per probability; and the number of groups.
+    """keys, measure, n_values, one column ``q0..qk`` per probability; and the result's size in bytes.
 
     Positions between two values are interpolated linearly. ``counted`` passes value counts that are stored already.
 
@@ -48,12 +49,13 @@ def sized_group_quantiles(df: DataFrame, keys: list[str], measures: dict, probs:
     if counted is None:
         counted = stored_value_counts(df, keys, measures, weight)
     group = [*keys, "measure"]
-    largest, n_groups = counted.groupBy(*group).count().agg(F.max("count"), F.count("*")).first()
+    groups = counted.groupBy(*group).count()
+    largest, size = groups.agg(F.max("count"), F.sum(row_bytes(groups) + 16 * len(probs))).first()
     if (largest or 0) > max_values:
-        return _ranked_quantiles(counted, group, probs), n_groups
+        return _ranked_quantiles(counted, group, probs), size
     wanted = F.percentile("value", F.array(*[F.lit(p) for p in probs]), F.col("n"))
     found = counted.groupBy(*group).agg(F.sum("n").alias("n_values"), wanted.alias("q"))
-    return found.select(*group, "n_values", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))]), n_groups
+    return found.select(*group, "n_values", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))]), size or 0
 
 
 def group_quantiles(df: DataFrame, keys: list[str], measures: dict, probs: list[float], **options) -> DataFrame:

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this many rows a lookup table is no longer broadcast (see joins.lookup_join).
-BROADCAST_MAX_ROWS = 500_000
+# A lookup table larger than this is no longer broadcast (see joins.lookup_join).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app_name: str = "lotvalue", master: str | None = None, **conf: str) -> SparkSession:
