@@ -52,19 +52,31 @@ def make_stats(df: DataFrame, top: int = 20) -> DataFrame:
 
 
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Type, non-null and null counts, coverage and distinct values: one row per column, one scan."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggregates = [F.count("*").alias("total")]
-    for name in df.columns:
-        aggregates += [F.count(name).alias(f"{name}__n"), distinct(F.col(name)).alias(f"{name}__d")]
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("dtype"),
-                 F.col(f"{name}__n").alias("non_null"), (F.col("total") - F.col(f"{name}__n")).alias("null_count"),
-                 F.round(F.try_divide(F.col(f"{name}__n"), F.col("total")) * 100, 1).alias("coverage_pct"),
-                 F.col(f"{name}__d").alias("n_distinct"))
-        for name, kind in df.dtypes
-    ])
-    return df.agg(*aggregates).select(F.inline(rows))
+    """Type, non-null and null counts, coverage and distinct values: one row per column, one scan.
+
+    Exact distinct counts come from counting (column, value) pairs: the shuffle is spread by value, and equal values
+    are merged before it. With ``approximate`` there is one sketch per column and no shuffle of values.
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
+    if approximate:
+        wide = df.agg(F.count("*").alias("total"), *[
+            F.struct(F.count(c).alias("non_null"), F.approx_count_distinct(c).alias("n_distinct")).alias(f"c_{c}")
+            for c in df.columns])
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c_{c}.non_null").alias("non_null"),
+                                  F.col(f"c_{c}.n_distinct").alias("n_distinct")) for c in df.columns])
+        counted = wide.select("total", F.inline(rows))
+    else:
+        texts = df.select(*[((F.col(c) + 0.0) if kind in ("double", "float") else F.col(c)).cast("string").alias(c)
+                            for c, kind in df.dtypes])      # adding 0.0 makes -0.0 equal to 0.0
+        values = (texts.unpivot([], df.columns, "column_name", "value")
+                       .groupBy("column_name", "value").agg(F.count("*").alias("n")))
+        counted = values.groupBy("column_name").agg(
+            F.sum("n").alias("total"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"),
+            F.count("value").alias("n_distinct"))
+    return counted.select(
+        "column_name", kinds[F.col("column_name")].alias("dtype"), "non_null",
+        (F.col("total") - F.col("non_null")).alias("null_count"),
+        F.round(F.try_divide("non_null", "total") * 100, 1).alias("coverage_pct"), "n_distinct")
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -206,8 +218,9 @@ def top_models(df: DataFrame, top: int = 100, rules=CATEGORY_RULES) -> DataFrame
 
     Spark limits each task to ``top`` rows per group before the shuffle, so a large group stays small.
     """
-    names = (df.select(F.explode(category_memberships(F.col("raw_category"), rules)).alias("category_key"),
-                       "make_key", F.col("raw_model").alias("model"))
+    names = (df.select("raw_category", "make_key", F.col("raw_model").alias("model")).distinct()
+               .select(F.explode(category_memberships(F.col("raw_category"), rules)).alias("category_key"),
+                       "make_key", "model")
                .filter(F.col("make_key").isNotNull() & F.col("model").isNotNull() & (F.col("model") != ""))
                .distinct())
     w = Window.partitionBy("category_key", "make_key").orderBy("model")

@@ -33,7 +33,8 @@ def positional_rank(df: DataFrame, date: str, ties: list[str], keys: list[str] |
     """1-based position of every row by (day, bucket, ties), over the table or within ``keys``.
 
     Counts per cell give each cell its offset; rows are numbered inside their cell only. The offsets have the
-    same partitioning as the numbered rows, so the rows are shuffled once.
+    same partitioning as the numbered rows, so the rows are shuffled once. A cell is one task's work: ``ties`` should
+    tell rows apart, because rows equal in all of them share a cell.
     """
     keys = keys or []
     cells = _cells(df, date, ties, bucket)

@@ -135,3 +135,12 @@ def test_reference_lists_and_top_models(spark):
     top = profiling.top_models(df, top=1).collect()
     assert {(r.category_key, r.model) for r in top} == {("tractors", "a"), ("trucks_and_trailers", "a")}
     assert rules.OTHER.min_price == 1000
+
+
+def test_column_profile(spark):
+    df = spark.createDataFrame([(1.0, "a"), (-0.0, "a"), (0.0, None), (None, None)], "x double, s string")
+    got = {r.column_name: (r.dtype, r.non_null, r.null_count, r.coverage_pct, r.n_distinct)
+           for r in profiling.column_profile(df).collect()}
+    assert got == {"x": ("double", 3, 1, 75.0, 2), "s": ("string", 2, 2, 50.0, 1)}
+    near = {r.column_name: r.n_distinct for r in profiling.column_profile(df, approximate=True).collect()}
+    assert near["s"] == 1
