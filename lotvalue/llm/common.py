@@ -61,3 +61,22 @@ def components(edges: DataFrame) -> DataFrame:
         seen = marked
     return (now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+
+
+def row_hash(df: DataFrame):
+    """A hash of a whole row, to tell rows apart whose doc_id is equal or null."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def pick(docs: DataFrame, decided: DataFrame, *extra: str) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, row, n, and ``extra``) names, each once, with ``extra``.
+
+    row: their ``row_hash``; n: how many equal rows there are. Rows equal in every column come out as one.
+    """
+    columns, names = docs.columns, [f"_x_{e}" for e in extra]
+    right = decided.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("_n"),
+                           *[F.col(e).alias(x) for e, x in zip(extra, names)])
+    held = docs.withColumn("_key", row_hash(docs)).join(
+        right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
+    once = held.where("_n = 1").select(*columns, *names)
+    return once.unionByName(held.where("_n > 1").select(*columns, *names).dropDuplicates())

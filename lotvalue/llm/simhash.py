@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, store
+from .common import components, pick, row_hash, store
 
 RADIUS = 3
 SHINGLE = 3
@@ -224,18 +224,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Ties go to the smallest hash of the row; of rows that are equal in every column one stays. A group whose rows all
     lack a doc_id keeps one row, too. Columns are those of ``docs``.
     """
-    columns = docs.columns
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    fps = store(fingerprints(docs.select("doc_id", "text", row.alias("row")), ["doc_id", "row"]), "fingerprints")
+    fps = store(fingerprints(docs.select("doc_id", "text", row_hash(docs).alias("row")), ["doc_id", "row"]),
+                "fingerprints")
     of = components(links(fps)).withColumnRenamed("node", "fp")
-    entry = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    best = fps.groupBy("fp").agg(F.min(entry).alias("best"))
+    best = fps.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n")).groupBy("fp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("best"))
     best = best.join(of, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    chosen = best.select(F.col("best.doc_id").alias("_id"), F.col("best.row").alias("_row"))
-    times = fps.join(chosen, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("row") == F.col("_row")), "left_semi") \
-        .groupBy("doc_id", "row").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_n")
-    times = store(times, "kept_rows")
-    held = docs.withColumn("_key", row).join(
-        times, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_key") == F.col("_row")))
-    once = held.where("_n = 1").select(*columns)
-    return once.unionByName(held.where("_n > 1").select(*columns).dropDuplicates())
+    return pick(docs, store(best.select("best.doc_id", "best.row", "best.n"), "kept_rows"))
