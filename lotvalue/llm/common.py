@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,12 @@ def pick(docs: DataFrame, decided: DataFrame, *extra: str) -> DataFrame:
         right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
     once = held.where("_n = 1").select(*columns, *names)
     return once.unionByName(held.where("_n > 1").select(*columns, *names).dropDuplicates())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results are stored by now.
+
+    It does so once the driver has collected its garbage, which a driver with little to do may put off for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
