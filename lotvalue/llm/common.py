@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,5 +90,8 @@ def release(spark: SparkSession) -> None:
 
     It does so once the driver has collected its garbage, which a driver with little to do may put off for half an hour.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):          # Python lets go of its frames first, then the driver of what they held
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

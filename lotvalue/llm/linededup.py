@@ -135,16 +135,20 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def links(lines: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of ids of different lines within ``TAU`` edits; a is the longer (of equal length the larger id)."""
+    """Verified pairs (a, b) of ids of different lines within ``TAU`` edits, a > b."""
     n = F.length("line")
-    key = F.explode(index_keys(F.col("line"), n))
-    index = lines.select(F.col("id").alias("b"), n.alias("nb"), key.alias("key"))
-    probe = lines.select(F.col("id").alias("a"), n.alias("na"), F.explode(probe_keys(F.col("line"), n)).alias("key"))
-    pairs = probe.join(index, "key").where("na > nb or (na = nb and a > b)").select("a", "b").distinct()
+    index = lines.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), n)).alias("key"))
+    probe = lines.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("line"), n)).alias("key"))
+    pairs = probe.join(index.hint("shuffle_hash"), "key").where("a <> b") \
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = store(pairs, "line_pairs")
+    release(lines.sparkSession)
     text = lines.select("id", "line")
-    held = (pairs.join(text.withColumnsRenamed({"id": "a", "line": "la"}), "a")
-            .join(text.withColumnsRenamed({"id": "b", "line": "lb"}), "b"))
+    held = (pairs.join(text.withColumnsRenamed({"id": "a", "line": "ta"}), "a")
+            .join(text.withColumnsRenamed({"id": "b", "line": "tb"}), "b"))
+    swap = F.length("ta") < F.length("tb")
+    held = held.select("a", "b", F.when(swap, F.col("tb")).otherwise(F.col("ta")).alias("la"),
+                       F.when(swap, F.col("ta")).otherwise(F.col("tb")).alias("lb"))
     head = _common(F.col("la"), F.col("lb"), F.length("lb"), False)
     tail = F.least(_common(F.col("la"), F.col("lb"), F.length("lb"), True), F.length("lb") - F.col("head"))
     held = held.withColumn("head", head).withColumn("tail", tail).select(
