@@ -4,7 +4,9 @@ A line of ``MIN_BYTES`` UTF-8 bytes or more is a near-duplicate of another withi
 is split into ``TAU + 1`` segments; of two lines within ``TAU`` edits, the longer one holds a segment of the shorter one
 unchanged, near its old place. So every line is indexed under (its length, segment number, segment), and probes, for each length
 from its own down to ``TAU`` less, the few substrings that can be that segment: a start may be off by no more edits
-than can come before it, and leave no more than can come after it. Pairs that share a key are deduplicated and verified: equal
+than can come before it, and leave no more than can come after it. Where many lines
+share a key, as copies with one word changed do, only pairs whose byte counts are near enough come out of the
+join. Pairs that share a key are deduplicated and verified: equal
 heads and tails are cut off, and the rest goes through a banded bit-parallel edit distance, whose band of ``2 * TAU + 1``
 cells is one word.
 
@@ -14,7 +16,7 @@ first of its text or if a line within ``TAU`` edits comes before it, kept or not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, row_hash, store
@@ -23,6 +25,8 @@ TAU = 2
 MIN_BYTES = 32
 #: Equal heads and tails are cut off in steps of so many bytes.
 CHUNK = 16
+#: Under a key with more lines than this, pairs are made only where byte counts allow them to be near.
+HOT = 16
 _BAND = 2 * TAU + 1
 _ALL = (1 << _BAND) - 1
 
@@ -134,13 +138,51 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
             .groupBy("id", "id2").agg(F.any_value("line").alias("line"), F.min("at").alias("first")))
 
 
+def _counts(line: Column) -> Column:
+    """Of each of 16 classes of bytes (by their last four bits) the number in a line, modulo 16, in four bits."""
+    text, packed = F.decode(line, "ISO-8859-1"), F.lit(0).cast("long")
+    for k in range(16):
+        others = F.translate(text, "".join(chr(16 * h + k) for h in range(16)), "")
+        packed = packed.bitwiseOR(F.shiftleft(((F.length(text) - F.length(others)) % 16).cast("long"), 4 * k))
+    return packed
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """A lower bound for twice the edit distance: an edit changes two of the counts by one."""
+    total = F.lit(0)
+    for k in range(16):
+        d = F.shiftright(x, 4 * k).bitwiseAND(15) - F.shiftright(y, 4 * k).bitwiseAND(15)
+        total = total + F.least(F.pmod(d, F.lit(16)), F.pmod(-d, F.lit(16)))
+    return total
+
+
+def _of_hot_keys(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a key under which more than ``HOT`` lines are indexed, and may be near by their byte counts.
+
+    Such a key is met by one marker, so its rows are one per probing line; every indexed line also probes its own keys.
+    """
+    n = F.length("line")
+    rows = met.select("a", "key").distinct().join(lines.select(F.col("id").alias("a"), "line"), "a").select(
+        "a", "key", _counts(F.col("line")).alias("counts"), F.array_contains(index_keys(F.col("line"), n), F.col("key")).alias("own"))
+    rows = store(rows, "hot_line_keys")
+    held = rows.where("own").select("key", F.col("a").alias("b"), F.col("counts").alias("with"))
+    return rows.join(held, (rows.key == held.key) & (F.col("a") != F.col("b"))
+                     & (_apart(F.col("counts"), F.col("with")) <= 2 * TAU)).select("a", "b")
+
+
 def links(lines: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of ids of different lines within ``TAU`` edits, a > b."""
     n = F.length("line")
+    same = Window.partitionBy("key")
     index = lines.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), n)).alias("key"))
+    index = index.withColumn("n", F.count("*").over(same)).withColumn("first", F.min("b").over(same)) \
+        .where(f"n <= {HOT} or b = first").select("key", F.when(F.col("n") <= HOT, F.col("b")).alias("b"))
     probe = lines.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("line"), n)).alias("key"))
-    pairs = probe.join(index.hint("shuffle_hash"), "key").where("a <> b") \
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    met = probe.join(index.hint("shuffle_hash"), "key").where("b is null or a <> b") \
+        .select("a", "b", F.when(F.col("b").isNull(), F.col("key")).alias("key"))
+    met = store(met, "line_keys")
+    pairs = met.where("b is not null").select("a", "b").unionByName(_of_hot_keys(met.where("b is null"), lines))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = store(pairs, "line_pairs")
     release(lines.sparkSession)
     text = lines.select("id", "line")

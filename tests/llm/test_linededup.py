@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotvalue.llm import linededup
@@ -57,7 +58,9 @@ def test_band_equals_edit_distance(spark):
     assert got.where("ok").count() > 100
 
 
-def test_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("hot", [16, 1])
+def test_equals_brute_force(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)
     rng = random.Random(4)
     base = ["".join(rng.choices("abcdefé ", k=rng.choice([31, 32, 33, 40, 70]))) for _ in range(12)]
     rows = [(d, "\n".join(edited(rng, rng.choice(base), 3) for _ in range(rng.randrange(1, 7)))) for d in range(40)]
