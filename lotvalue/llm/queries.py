@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collisions, htmltext, langid, linededup, mixing, mtree, packing, quality, simhash
+from . import collisions, htmltext, langid, linededup, mixing, mtree, packing, quality, simhash, substrings
 from .common import table
 
 QUERIES: dict = {}
@@ -44,6 +44,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), text=False).drop("kept")
+
+
 @query
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
