@@ -74,9 +74,9 @@ def error_analysis(spark, d):
 
 
 @query("error_ecdf", "pct_error:f1, n_upto:i, cumulative_pct:f4", f"""
-    SELECT g.t AS pct_error, count(*) FILTER (e.pct_error <= g.t) AS n_upto,
-        count(*) FILTER (e.pct_error <= g.t) * 100.0::double / count(*) AS cumulative_pct
-    FROM {ERRORS} AS e CROSS JOIN (SELECT unnest(range(101)) * 0.5::double AS t) AS g GROUP BY 1""")
+    SELECT bin * 0.5::double AS pct_error, sum(n) OVER (ORDER BY bin) AS n_upto,
+        sum(n) OVER (ORDER BY bin) * 100.0::double / sum(n) OVER () AS cumulative_pct
+    FROM (SELECT ceil(e.pct_error / 0.5) AS bin, count(*) AS n FROM {ERRORS} AS e WHERE e.pct_error IS NOT NULL GROUP BY 1) AS b""")
 def error_ecdf(spark, d):
     return evaluate.error_ecdf(i.scored(spark, d).filter("split = 'test'"))
 

@@ -99,7 +99,7 @@ def distinct_counts(spark, d):
                                      ["make_key", "region", "raw_category"])
 
 
-TOP = {"make_key": 15, "raw_condition": 10, "raw_category": 20, "region": 50}
+TOP = {"make_key": 15, "raw_condition": 10, "raw_category": 20, "region": None}
 
 
 @query("value_counts_topn", "field:s, value:s, n:i",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from lotvalue.functions.columns import WHITESPACE
 from lotvalue.sources import roles
 
 from .shape import shaped_sql
@@ -16,7 +17,8 @@ KEYS = "lot_order, lot_line, lot_part, lot_seller"
 KEY_SPEC = "lot_order:i, lot_line:i, lot_part:i, lot_seller:i"
 ORDER = "lot_order % 64, lot_order, lot_line, lot_part, lot_seller, lot_ref"
 
-WS = "concat(' ', chr(9), chr(10), chr(13))"
+# All white space that text keys are stripped of.
+WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
 
 def _view(columns: dict) -> str:
@@ -284,9 +286,10 @@ def histogram_rows(table: str, value: str, where: str, bins: int) -> str:
         ON c.bin = g.bin"""
 
 
-def top_counts(table: str, column: str, top: int) -> str:
+def top_counts(table: str, column: str, top: int | None) -> str:
+    limit = f" LIMIT {top}" if top else ""
     return (f"SELECT '{column}' AS field, cast({column} AS varchar) AS value, n FROM (SELECT {column}, count(*) AS n "
-            f"FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT {top}) AS t")
+            f"FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1{limit}) AS t")
 
 
 def missing_rows(table: str, columns: list[str]) -> str:

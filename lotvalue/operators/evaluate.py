@@ -52,20 +52,14 @@ def error_analysis(scored: DataFrame, bands=ERROR_BANDS) -> DataFrame:
     return errors.agg(*aggregates).crossJoin(medians)
 
 
-def error_ecdf(scored: DataFrame, step: float = 0.5, limit: float = 50.0) -> DataFrame:
-    """Share of predictions whose percentage error is at most t, for t = 0, step, ... limit.
+def error_ecdf(scored: DataFrame, step: float = 0.5) -> DataFrame:
+    """Share of predictions whose percentage error is at most t, for every step t at which the share grows.
 
-    Rows are reduced to counts per step first; the running sum is over those steps only.
+    Rows are reduced to counts per step first; the running sum is over the occupied steps only, up to the largest error.
     """
-    steps = int(limit / step)
-    bin_no = F.least(F.ceil(F.col("pct_error") / step), F.lit(steps + 1)).cast("int")
-    counts = (with_errors(scored).filter(F.col("pct_error").isNotNull()).groupBy(bin_no.alias("bin"))
-                                 .agg(F.count("*").alias("n")))
-    grid = scored.sparkSession.range(steps + 2).select(F.col("id").cast("int").alias("bin"))
-    ordered = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = (with_errors(scored).filter(F.col("pct_error").isNotNull())
+              .groupBy(F.ceil(F.col("pct_error") / step).alias("bin")).agg(F.count("*").alias("n")))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.coalesce("n", F.lit(0))
-    return (grid.join(counts, "bin", "left")
-                .select((F.col("bin") * step).alias("pct_error"), F.sum(n).over(ordered).alias("n_upto"),
-                        (F.try_divide(F.sum(n).over(ordered), F.sum(n).over(every)) * 100).alias("cumulative_pct"), "bin")
-                .filter(F.col("bin") <= steps).drop("bin"))
+    return counts.select((F.col("bin") * step).alias("pct_error"), F.sum("n").over(upto).alias("n_upto"),
+                         (F.sum("n").over(upto) / F.sum("n").over(every) * 100).alias("cumulative_pct"))

@@ -125,8 +125,11 @@ def add_production_status(df: DataFrame) -> DataFrame:
     if "make_production_year_end" not in df.columns:
         return df.withColumns({"is_current_production": F.lit(1), "years_since_discontinued": F.lit(0.0)})
     end = F.col("make_production_year_end")
-    since = F.when(end.isNotNull(), clip(F.year("sold_date") - end, low=0)).otherwise(0).cast("double")
-    return df.withColumns({"is_current_production": end.isNull().cast("int"), "years_since_discontinued": since})
+    new = {"is_current_production": end.isNull().cast("int")}
+    if "sold_date" in df.columns:
+        new["years_since_discontinued"] = F.when(end.isNotNull(), clip(F.year("sold_date") - end, low=0)) \
+            .otherwise(0).cast("double")
+    return df.withColumns(new)
 
 
 def add_equipment(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:

@@ -98,10 +98,13 @@ def coverage(df: DataFrame, fields: list[str]) -> DataFrame:
 def horsepower_medians(df: DataFrame) -> tuple[DataFrame, int]:
     """Medians of parsed horsepower by make-model, and by category after the make-model fill.
 
-    The lots are reduced to counts once; both levels are computed from the counts.
+    The lots are reduced to counts once; both levels are computed from the counts. A level whose column is absent has
+    no rows.
     """
-    counts = materialize(
-        df.groupBy("make_model_key", "raw_category", "horsepower").agg(F.count("*").alias("n")), "horsepower")
+    names = ["make_model_key", "raw_category"]
+    present = [c for c in names if c in df.columns]
+    counts = df.groupBy(*present, "horsepower").agg(F.count("*").alias("n"))
+    counts = materialize(counts.withColumns({c: F.lit(None).cast("string") for c in names if c not in present}), "horsepower")
     by_model, size_model = median_levels(counts, {"model": F.col("make_model_key")}, "horsepower", weight="n")
     filled = join_level(counts, by_model, size_model, "model", "make_model_key", "_model")
     filled = filled.withColumn("horsepower", F.coalesce("horsepower", "_model"))
@@ -110,11 +113,12 @@ def horsepower_medians(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def cascade_horsepower(df: DataFrame, medians: DataFrame, size: int, default: float) -> DataFrame:
-    filled = join_level(df, medians, size, "model", "make_model_key", "_hp_model")
-    filled = join_level(filled, medians, size, "category", "raw_category", "_hp_category")
-    return filled.withColumn(
-        "horsepower", F.coalesce("horsepower", "_hp_model", "_hp_category", F.lit(default))
-    ).drop("_hp_model", "_hp_category")
+    filled, found = df, ["horsepower"]
+    for level, on in (("model", "make_model_key"), ("category", "raw_category")):
+        if on in df.columns:
+            filled = join_level(filled, medians, size, level, on, f"_hp_{level}")
+            found.append(f"_hp_{level}")
+    return filled.withColumn("horsepower", F.coalesce(*found, F.lit(default))).drop(*found[1:])
 
 
 def hours_by_make_and_age(df: DataFrame) -> DataFrame:

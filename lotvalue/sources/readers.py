@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import DataType, DoubleType, StringType, StructType
 
+from ..functions.columns import coerce_number
 from ..schemas import AUCTIONS, BAROMETER, DIESEL, EL_NINO, FUTURES, MAKES, Catalog
 
 
@@ -19,14 +21,42 @@ def read_delimited(spark: SparkSession, path, schema: StructType | None, sep: st
     raw = reader.csv(path)
     known = {c.lower(): c for c in raw.columns}
     return raw.select(*[
-        raw[known[f.name.lower()]].try_cast(f.dataType).alias(f.name)
+        _cast(raw[known[f.name.lower()]], StringType(), f.dataType).alias(f.name)
         for f in schema.fields if f.name.lower() in known
     ])
 
 
+def _cast(column: Column, stored: DataType, wanted: DataType) -> Column:
+    """Text is a number only if it is a plain one: '12d' is not."""
+    if isinstance(wanted, DoubleType) and isinstance(stored, StringType):
+        return coerce_number(column, "string")
+    return column.try_cast(wanted)
+
+
+def typed(raw: DataFrame, schema: StructType | None) -> DataFrame:
+    """Columns of the schema in its types, whatever type they were stored in; other columns as they are."""
+    wanted = {f.name.lower(): f for f in schema.fields} if schema else {}
+    return raw.select(*[
+        raw[f"`{c}`"] if c.lower() not in wanted or raw.schema[c].dataType == wanted[c.lower()].dataType
+        else _cast(raw[f"`{c}`"], raw.schema[c].dataType, wanted[c.lower()].dataType).alias(wanted[c.lower()].name)
+        for c in raw.columns])
+
+
+def expand(spark: SparkSession, path: str) -> list[str]:
+    """The files or folders that a path with wildcards names, sorted, on whatever file system it is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().toString() for s in system.globStatus(hadoop) or ())
+
+
+def first_match(spark: SparkSession, path: str) -> str:
+    """The first of the matching files; the path itself if there is none, for the scan to complain about."""
+    return next(iter(expand(spark, path)), path)
+
+
 def read_table(spark: SparkSession, path, fmt: str, schema: StructType | None) -> DataFrame:
     if fmt == "parquet":
-        return spark.read.option("mergeSchema", True).parquet(*([path] if isinstance(path, str) else path))
+        return typed(spark.read.parquet(*([path] if isinstance(path, str) else path)), schema)
     if fmt == "tsv":
         return read_delimited(spark, path, schema)
     if fmt == "csv":
@@ -37,14 +67,18 @@ def read_table(spark: SparkSession, path, fmt: str, schema: StructType | None) -
 def read_parts(spark: SparkSession, paths: list[str], fmt: str, schema: StructType | None = AUCTIONS) -> DataFrame:
     """Union of parts by column name; a column absent from a part is NULL there.
 
-    Parquet parts are one scan with merged schemas, however many files there are. Delimited parts with
-    differing headers are one scan per part.
+    Wildcards are expanded first, because one scan takes the columns of all its files from the first of them. Parts
+    with the same columns are one scan, so a thousand parts of one layout are one scan, too.
     """
-    if not paths:
-        raise FileNotFoundError("no input parts given")
-    if fmt == "parquet":
-        return read_table(spark, paths, fmt, schema)
-    parts = [read_table(spark, p, fmt, schema) for p in sorted(paths)]
+    files = sorted({f for p in paths for f in expand(spark, p)})
+    if not files:
+        raise FileNotFoundError(f"no input parts: {paths}")
+    layouts = defaultdict(list)
+    for f in files:         # one header or footer each
+        raw = spark.read.parquet(f) if fmt == "parquet" else \
+            spark.read.option("sep", "\t" if fmt == "tsv" else ",").option("header", True).csv(f)
+        layouts[tuple(raw.dtypes)].append(f)
+    parts = [read_table(spark, some, fmt, schema) for some in layouts.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -77,17 +111,20 @@ def read_auctioneers(spark, path, fmt="tsv") -> DataFrame:
 
 
 def load_catalog(spark: SparkSession, base: str, fmt: str = "tsv", auction_parts: list[str] | None = None) -> Catalog:
-    """All seven tables under one folder. Auction parts default to ``auction_results_part*``."""
+    """All seven tables under one folder. Auction parts default to ``auction_results_part*``.
+
+    Of several exports of makes or auctioneers the first by name is read: two would multiply the lots.
+    """
     ext = "parquet" if fmt == "parquet" else "csv"
     parts = auction_parts or [f"{base}/auction_results_part*.{ext}"]
     return Catalog(
         auctions=read_parts(spark, parts, fmt),
-        makes=read_makes(spark, f"{base}/makes*.{ext}", fmt),
+        makes=read_makes(spark, first_match(spark, f"{base}/makes*.{ext}"), fmt),
         barometer=read_barometer(spark, f"{base}/ag_economy_barometers.{ext}", fmt),
         diesel=read_diesel(spark, f"{base}/diesel_prices.{ext}", fmt),
-        el_nino=read_el_nino(spark, f"{base}/el_nino.{ext}", fmt),
+        el_nino=read_el_nino(spark, f"{base}/el_nino_readings.{ext}", fmt),
         futures=read_futures(spark, f"{base}/future_prices.{ext}", fmt),
-        auctioneers=read_auctioneers(spark, f"{base}/auctioneers*.{ext}", fmt),
+        auctioneers=read_auctioneers(spark, first_match(spark, f"{base}/auctioneers*.{ext}"), fmt),
     )
 
 

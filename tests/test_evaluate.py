@@ -30,9 +30,10 @@ def test_error_analysis_and_ecdf(scored):
     row = evaluate.error_analysis(df).first()
     assert row.median_pct_error == pytest.approx(np.median(pct))
     assert row.n_within_10 == (pct <= 10).sum() and row.pct_within_20 == pytest.approx((pct <= 20).mean() * 100)
-    for r in evaluate.error_ecdf(df, step=1.0, limit=30.0).collect():
+    for r in evaluate.error_ecdf(df, step=1.0).collect():
         assert r.n_upto == (pct <= r.pct_error).sum()
         assert r.cumulative_pct == pytest.approx((pct <= r.pct_error).mean() * 100)
+    assert evaluate.error_ecdf(df, step=1.0).agg({"n_upto": "max"}).first()[0] == len(pct)
 
 
 def test_histogram_matches_numpy(scored):

@@ -128,3 +128,21 @@ def test_batch_and_fitted_horsepower_scopes_and_storage(spark, tmp_path):
 def test_model_volume_by_make(spark):
     df = spark.createDataFrame([("a", "m"), ("a", "m"), ("b", "m"), (None, "m")], "make_key string, raw_model string")
     assert sorted(r.model_volume for r in f.model_volume_by_make(df).collect()) == [0, 1, 2, 2]
+
+
+def test_absent_columns_skip_their_level(spark):
+    df = spark.createDataFrame([("m", 100.0), ("m", None), ("x", None)], "make_model_key string, horsepower double")
+    medians, n = horsepower_medians(df)
+    assert sorted(r.horsepower for r in cascade_horsepower(df, medians, n, 150.0).collect()) == [100.0, 100.0, 150.0]
+    df = spark.createDataFrame([("c", 80.0), ("c", None)], "raw_category string, horsepower double")
+    medians, n = horsepower_medians(df)
+    assert [r.horsepower for r in cascade_horsepower(df, medians, n, 150.0).collect()] == [80.0, 80.0]
+    ends = spark.createDataFrame([(1996,), (None,)], "make_production_year_end int")
+    out = f.add_production_status(ends)
+    assert [r.is_current_production for r in out.collect()] == [0, 1] and "years_since_discontinued" not in out.columns
+
+
+def test_keys_lose_all_white_space(spark):
+    from lotvalue.functions.columns import text_key
+    df = spark.createDataFrame([("John-Deere\xa0",), ("\u3000Ford\x1f",), ("\u2009nan\x85",)], "k string")
+    assert [r[0] for r in df.select(text_key(F.col("k"))).collect()] == ["john-deere", "ford", None]

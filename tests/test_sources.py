@@ -15,7 +15,7 @@ def test_tsv_readers_and_catalog(spark, tmp_path):
     write(tmp_path / "auction_results_part1.csv", "price\tmake_key\tsold_date\n1000\tford\t2020-01-02\nx\tdeere\t\n")
     write(tmp_path / "ag_economy_barometers.csv", "date\tbarometer\n2020-01-01\t101.5\n")
     write(tmp_path / "diesel_prices.csv", "month_date\tprice_usd_per_gallon\n2020-01-01\t3.1\n")
-    write(tmp_path / "el_nino.csv", "year\tmonth\tvalue\tphase\n2020\t1\t0.5\t1\n")
+    write(tmp_path / "el_nino_readings.csv", "year\tmonth\tvalue\tphase\n2020\t1\t0.5\t1\n")
     write(tmp_path / "future_prices.csv", "date\tfuture_symbol\tprice\tvol\n2020-01-05\tCorn\t3.5\t10\n2020-01-06\tCorn\t3.7\t\n")
     write(tmp_path / "makes_1.csv", "name\tmake_key\tstill_in_business\nFord\tford\ttrue\n")
     write(tmp_path / "auctioneers_1.csv", "id\tname\n1\tBob\n")
@@ -45,6 +45,26 @@ def test_parts_are_united_by_name(spark, tmp_path):
     assert sorted((r.id, r.c, r.d) for r in merged.collect()) == [(1, "p", None), (2, None, 5.0)]
 
 
+def test_wildcard_parts_with_other_columns(spark, tmp_path):
+    write(tmp_path / "auction_results_part1.csv", "price\thours\tmake_key\n1000\t10\ta\n")
+    write(tmp_path / "auction_results_part2.csv", "make_key\tprice\thours\tregion\nb\t2000\t20\tr\n")
+    write(tmp_path / "auction_results_part3.csv", "price\thours\tmake_key\n3000\t30\tc\n")
+    out = readers.read_parts(spark, [str(tmp_path / "auction_results_part*.csv")], "tsv", AUCTIONS)
+    assert sorted((r.make_key, r.price, r.hours, r.region) for r in out.collect()) == [
+        ("a", 1000.0, 10.0, None), ("b", 2000.0, 20.0, "r"), ("c", 3000.0, 30.0, None)]
+    with pytest.raises(FileNotFoundError):
+        readers.read_parts(spark, [str(tmp_path / "nothing*.csv")], "tsv")
+
+
+def test_first_export_and_parquet_types(spark, tmp_path):
+    write(tmp_path / "makes_1.csv", "name\tmake_key\nFord\tford\n")
+    write(tmp_path / "makes_2.csv", "name\tmake_key\nFord\tford\n")
+    assert readers.read_makes(spark, readers.first_match(spark, f"{tmp_path}/makes*.csv")).count() == 1
+    spark.createDataFrame([("12", "x"), ("12d", "y")], "price string, note string").write.parquet(str(tmp_path / "p"))
+    out = readers.read_parts(spark, [str(tmp_path / "p")], "parquet", AUCTIONS)
+    assert sorted((r.price is None, r.price, r.note) for r in out.collect()) == [(False, 12.0, "x"), (True, None, "y")]
+
+
 def test_fallback_and_build_once(spark, tmp_path):
     built = []
 
