@@ -77,7 +77,8 @@ def pick(docs: DataFrame, decided: DataFrame, *extra: str) -> DataFrame:
     row: their ``row_hash``; n: how many equal rows there are. Rows equal in every column come out as one.
     """
     columns, names = docs.columns, [f"_x_{e}" for e in extra]
-    right = decided.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("_n"),
+    # One row per document: joined in the same way at every size, not by broadcast where there happen to be few.
+    right = decided.hint("merge").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("_n"),
                            *[F.col(e).alias(x) for e, x in zip(extra, names)])
     held = docs.withColumn("_key", row_hash(docs)).join(
         right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))

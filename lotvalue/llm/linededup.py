@@ -185,7 +185,7 @@ def links(lines: DataFrame) -> DataFrame:
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = store(pairs, "line_pairs")
     release(lines.sparkSession)
-    text = lines.select("id", "line")
+    text = lines.select("id", "line").hint("merge")
     held = (pairs.join(text.withColumnsRenamed({"id": "a", "line": "ta"}), "a")
             .join(text.withColumnsRenamed({"id": "b", "line": "tb"}), "b"))
     swap = F.length("ta") < F.length("tb")
@@ -226,7 +226,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``docs`` with its lines that stay as _kept, and the numbers of what went."""
-    right = decided.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"),
+    right = decided.hint("merge").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"),
                            F.col("gone").alias("_went"), F.col("n_links").alias("_links"))
     held = docs.withColumn("_key", row_hash(docs)).join(
         right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
