@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 BUCKETS = 256            # cells a day is cut into, so that one busy day is not one task
 BLOCK_ROWS = 1_000_000   # rows of one key that a rolling window handles in one task
 LAST_DAY = "9999-12-31"  # missing dates sort last
@@ -67,7 +69,7 @@ def split_cuts(df: DataFrame, date: str, ties: list[str], val: float = 0.15, tes
     """
     before_val, before_test = split_fractions(val, test)
     cells = _cells(df, date, ties, bucket)
-    starts = _cell_starts(cells, [])
+    starts = materialize(_cell_starts(cells, []), "cell-starts")        # days x buckets; used twice
     total = starts.agg(F.sum("_n").cast("double").alias("_total"))
     cut_cells = (starts.crossJoin(F.broadcast(total))
         .select("_day", "_bucket", "_start", "_n", F.inline(F.array(

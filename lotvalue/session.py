@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,38 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_scopes: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables; it is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    system, path = _file_system(spark, folder)
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside the block when it ends: write results before that."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for folder in made:
+            system, path = _file_system(spark, folder)
+            system.delete(path, True)
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -47,7 +81,9 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     depend on it, and a real file size that Spark's own broadcast threshold can judge.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     if partition_by:
         df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
     else:
