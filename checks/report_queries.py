@@ -61,11 +61,22 @@ def numeric_summary(spark, d):
     return profiling.numeric_summary(i.clean(spark, d, "price", "year", "hours"), ["price", "year", "hours"])
 
 
-@query("macro_summary", "measure:s, n_values:i, mean:f3, std:f3, minimum:f3, q25:f3, q50:f3, q75:f3, maximum:f3",
-       summary_rows("barometer", ["barometer", "current_conditions", "capital_investment_index"]))
+BAROMETER = ["barometer", "current_conditions", "future_expectations", "capital_investment_index"]
+SERIES_DATES = {"barometer": "date", "diesel": "month_date", "futures": "date"}
+
+
+@query("macro_summary", "measure:s, n_values:i, mean:f5, std:f3, minimum:f3, q25:f3, q50:f3, q75:f3, maximum:f3",
+       summary_rows("barometer", BAROMETER) + " UNION ALL " + summary_rows("diesel", ["price_usd_per_gallon"]))
 def macro_summary(spark, d):
-    return profiling.numeric_summary(roles.barometer(spark, d),
-                                     ["barometer", "current_conditions", "capital_investment_index"])
+    return profiling.numeric_summary(roles.barometer(spark, d), BAROMETER).unionByName(
+        profiling.numeric_summary(roles.diesel(spark, d), ["price_usd_per_gallon"]))
+
+
+@query("macro_date_ranges", "series:s, n_values:i, first_date:d, last_date:d", " UNION ALL ".join(
+    f"SELECT '{t}' AS series, count({c}) AS n_values, min({c}) AS first_date, max({c}) AS last_date FROM {t}"
+    for t, c in SERIES_DATES.items()))
+def macro_date_ranges(spark, d):
+    return profiling.date_ranges({t: (getattr(roles, t)(spark, d), c) for t, c in SERIES_DATES.items()})
 
 
 @query("field_summary", "n_price:i, min_price:f3, max_price:f3, mean_price:f3, median_price:f6, n_hours:i, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import month_key
@@ -238,3 +240,10 @@ def total_sort(df: DataFrame, *order: str) -> DataFrame:
 
 def sorted_distinct(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def date_ranges(series: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """First and last date of each series and the number of its dates; series by name, with their date column."""
+    rows = [table.agg(F.lit(name).alias("series"), F.count(c).alias("n_values"), F.min(c).alias("first_date"),
+                      F.max(c).alias("last_date")) for name, (table, c) in series.items()]
+    return reduce(DataFrame.unionByName, rows)
