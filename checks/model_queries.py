@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotvalue.functions.rules import category_key, make_category_key
+from lotvalue.functions.rules import CATEGORY_RULES, MAKE_CATEGORY_RULES, OTHER, category_key, make_category_key
 from lotvalue.operators import cleaning, evaluate, profiling, routing, valuation
 from lotvalue.operators.training import TrainingConfig, train_model
 from lotvalue.plans import fanout
@@ -36,6 +36,19 @@ def model_registry(spark, d):
     return i.registry(spark, d)
 
 
+EXPECTED = ", ".join(f"('{t}', '{k}')" for t, k in [
+    *[("category", r.key) for r in CATEGORY_RULES], ("generic", OTHER.key),
+    *[("make_category", r.key) for r in MAKE_CATEGORY_RULES]])
+
+
+@query("available_models", "tier:s, model_key:s, method:s, available:i, test_mape:f3", f"""
+    SELECT e.tier, e.model_key, m.method, CASE WHEN r.n_train IS NULL THEN 0 ELSE 1 END AS available, r.test_mape
+    FROM (VALUES {EXPECTED}) AS e(tier, model_key) CROSS JOIN (VALUES ('log'), ('regular')) AS m(method)
+    LEFT JOIN registry AS r ON r.tier = e.tier AND r.model_key = e.model_key AND r.method = m.method""")
+def available_models(spark, d):
+    return routing.available_models(i.registry(spark, d))
+
+
 @query("goal_check", "tier:s, model_key:s, method:s, met_mape:i, met_r2:i, met_rmse:i, goals_met:i", """
     SELECT *, met_mape + met_r2 + met_rmse AS goals_met FROM (SELECT tier, model_key, method,
         CASE WHEN test_mape < 10 THEN 1 ELSE 0 END AS met_mape, CASE WHEN test_r2 > 0.85 THEN 1 ELSE 0 END AS met_r2,

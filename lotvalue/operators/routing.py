@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.rules import OTHER, category_key, make_category_key
+from ..functions.rules import (
+    OTHER, category_key, category_rules_table, make_category_key, make_category_rules_table,
+)
 from .evaluate import metrics
 
 TIERS = ("make_category", "category", "generic")
@@ -77,6 +79,18 @@ def route_coverage(routed: DataFrame) -> DataFrame:
         "tier", "n_requests", (F.col("n_requests") / F.col("_total") * 100).alias("pct"))
 
 
+def available_models(registry: DataFrame, methods=METHODS) -> DataFrame:
+    """Every model the rules ask for, per method, and whether the registry has it."""
+    spark = registry.sparkSession
+    tier = F.when(F.col("category_key") == OTHER.key, TIERS[2]).otherwise(TIERS[1])
+    expected = category_rules_table(spark).select(tier.alias("tier"), F.col("category_key").alias("model_key")).unionByName(
+        make_category_rules_table(spark).select(F.lit(TIERS[0]).alias("tier"), F.col("make_category_key").alias("model_key")))
+    expected = expected.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    known = registry.select("tier", "model_key", "method", "n_train", "test_mape")
+    return expected.join(known, ["tier", "model_key", "method"], "left").select(
+        "tier", "model_key", "method", F.col("n_train").isNotNull().cast("int").alias("available"), "test_mape")
+
+
 def run_summary(registry: DataFrame) -> DataFrame:
     """Models trained, average MAPE and R2, per method."""
     return registry.groupBy("method").agg(
