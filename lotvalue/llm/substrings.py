@@ -122,20 +122,48 @@ def _read(z: bytes) -> bytes:
 
 
 def surroundings(held: DataFrame) -> DataFrame:
-    """held (h1, h2, z, at: array of (pos, gram)) -> h1, h2, pos, gram, left (reversed), right."""
+    """held (h1, h2, z, at: array of (pos, gram)) -> h1, h2, pos, gram, left (reversed), right, e.
+
+    What a text repeats within itself with all its surroundings, as one that says one word again and again does at every
+    few bytes, is settled here: such places come as spans (pos to e, no left), and one of them as an anchor for others.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = []
             for h1, h2, z, at in zip(*(c.to_pylist() for c in b.columns)):
-                data = _read(z)
-                rows = [(h1, h2, a["pos"], a["gram"], data[max(0, a["pos"] - LEFT):a["pos"]][::-1],
-                         data[a["pos"]:a["pos"] + LENGTH]) for a in at]
-                kinds = (pa.int64(),) * 4 + (pa.binary(),) * 2
-                for s in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[s:s + 20_000]), kinds)],
-                                                     ["h1", "h2", "pos", "gram", "left", "right"])
+                data, alike = _read(z), {}
+                for a in at:
+                    p = a["pos"]
+                    left, right = data[max(0, p - LEFT):p][::-1], data[p:p + LENGTH]
+                    if len(left) + len(right) >= LENGTH:        # else no string of that length holds the gram
+                        alike.setdefault((a["gram"], left, right), []).append(p)
+                rows += [(h1, h2, some[0], gram, left, right, None) for (gram, left, right), some in alike.items()]
+                spans = [(p - len(left), p + len(right)) for (_, left, right), some in alike.items() if len(some) > 1
+                         for p in some]
+                rows += [(h1, h2, s, h1, None, None, e) for s, e in _merged(spans)]
+                if len(rows) > 20_000:
+                    yield _batch(rows, _AROUND)
+                    rows = []
+            if rows:
+                yield _batch(rows, _AROUND)
 
     return held.select("h1", "h2", "z", "at").mapInArrow(
-        run, "h1 long, h2 long, pos long, gram long, left binary, right binary")
+        run, "h1 long, h2 long, pos long, gram long, left binary, right binary, e long")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _merged(spans) -> list[list[int]]:
+    """Spans [start, end) that touch or overlap as one, in order."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -215,8 +243,11 @@ def deep_shallow(strings: list[bytes]) -> tuple[list[bytes], list[int]]:
     return out, before
 
 
-def shared(left: list[bytes], right: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Of different (left, right) surroundings of one gram: which strings [-L, R) each shares with another."""
+def shared(left: list[bytes], right: list[bytes]) -> list[tuple[int, int] | None]:
+    """Of different (left, right) surroundings of one gram: how far repeated strings reach on either side, if there are any.
+
+    All strings that count hold the gram, so together they are one span.
+    """
     n = len(left)
     orders = []
     for side in (left, right):
@@ -224,7 +255,7 @@ def shared(left: list[bytes], right: list[bytes]) -> list[list[tuple[int, int]]]
         rank = {s: k for k, s in enumerate(distinct)}
         orders.append(([rank[s] for s in side], before, [len(s) for s in distinct]))
     (lr, lb, ll), (rr, rb, rl) = orders
-    out: list[set] = [set() for _ in range(n)]
+    reach = np.full((n, 2), -1)
     if n <= PAIRS:
         for i in range(n):
             for j in range(i):
@@ -235,110 +266,102 @@ def shared(left: list[bytes], right: list[bytes]) -> list[list[tuple[int, int]]]
                 a, b = sorted((lr[i], lr[j]))
                 k = ll[a] if a == b else min(lb[a + 1:b + 1])
                 if k + r >= LENGTH:
-                    out[i].add((k, r))
-                    out[j].add((k, r))
-        return [list(x) for x in out]
-    # Many: for every k the classes of equal lefts of k bytes and equal rights of LENGTH - k bytes, from the two orders.
-    lr, rr = np.array(lr), np.array(rr)
-    lb, rb, ll, rl = map(np.array, (lb, rb, ll, rl))
-    for k in range(LEFT + 1):
-        live = np.flatnonzero((ll[lr] >= k) & (rl[rr] >= LENGTH - k))
-        if len(live) < 2:
-            continue
-        key = np.cumsum(lb < k)[lr[live]] * np.int64(len(rb) + 1) + np.cumsum(rb < LENGTH - k)[rr[live]]
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        for i in live[count[inverse] > 1]:
-            out[i].add((k, LENGTH - k))
-    return [list(x) for x in out]
-
-
-def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Merged [start, end) of [-L, R)."""
-    out: list[list[int]] = []
-    for a, b in sorted((-k, r) for k, r in found):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
+                    reach[[i, j]] = np.maximum(reach[[i, j]], (k, r))
+    else:
+        # Many: for every k the classes of equal lefts of k bytes and equal rights of LENGTH - k bytes, from the two orders.
+        lr, rr = np.array(lr), np.array(rr)
+        lb, rb, ll, rl = map(np.array, (lb, rb, ll, rl))
+        for k in range(LEFT + 1):
+            live = np.flatnonzero((ll[lr] >= k) & (rl[rr] >= LENGTH - k))
+            key = np.cumsum(lb < k)[lr[live]] * np.int64(len(rb) + 1) + np.cumsum(rb < LENGTH - k)[rr[live]]
+            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+            again = live[count[inverse] > 1]
+            reach[again] = np.maximum(reach[again], (k, LENGTH - k))
+    return [(int(a), int(b)) if b >= 0 else None for a, b in reach]
+
+
+_AROUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("pos", pa.int64()), ("gram", pa.int64()),
+                     ("left", pa.binary()), ("right", pa.binary()), ("e", pa.int64())])
 _FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int64()), ("e", pa.int64()),
                     ("left", pa.binary()), ("right", pa.binary())])
 
 
 def _of_gram(rows: dict) -> list[tuple]:
-    """rows: (left, right) -> [(h1, h2, pos)] of one gram."""
+    """rows: (left, right) -> (h1, h2, pos), or None where it was met again, of one gram."""
     keys = list(rows)
-    told = [[] for _ in keys]
-    if len(keys) > 1:
-        told = shared([k[0] for k in keys], [k[1] for k in keys])
-    out = []
-    for (left, right), some, at in zip(keys, told, rows.values()):
-        if len(at) > 1 and len(left) + len(right) >= LENGTH:
-            some = [*some, (len(left), len(right))]
-        for a, b in _spans(some):
-            out += [(h1, h2, pos + a, pos + b, None, None) for h1, h2, pos in at]
-    return out
+    if len(keys) < 2:
+        return []
+    told = shared([k[0] for k in keys], [k[1] for k in keys])
+    return [(h1, h2, pos - some[0], pos + some[1], None, None)
+            for some, at in zip(told, rows.values()) if some and at for h1, h2, pos in (at,)]
 
 
 def repeats(around: DataFrame) -> DataFrame:
-    """surroundings -> (h1, h2, s, e): repeated strings; with left and right kept (s the anchor) for overfull grams."""
+    """surroundings -> (h1, h2, s, e): repeated strings; with left and right kept (s the anchor) for overfull grams.
+
+    Surroundings that occur again are repeated as a whole, so only one place of each is held, and none once that is known.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, rows, full, out = None, {}, False, []
-
-        def batch():
-            nonlocal out
-            done, out = out, []
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _FOUND)], schema=_FOUND)
-
         for b in batches:
-            for h1, h2, pos, g, left, right in zip(*(c.to_pylist() for c in b.columns)):
+            for h1, h2, pos, g, left, right, e in zip(*(c.to_pylist() for c in b.columns)):
+                if left is None:
+                    out.append((h1, h2, pos, e, None, None))
+                    continue
                 if g != gram:
                     if not full:
                         out += _of_gram(rows)
                     gram, rows, full = g, {}, False
-                    if len(out) > 20_000:
-                        yield batch()
-                if not full:
-                    rows.setdefault((left, right), []).append((h1, h2, pos))
-                    if len(rows) > FULL or len(rows[left, right]) > 10 * FULL:
-                        out += [(*x, None, *k) for k, some in rows.items() for x in some]
-                        rows, full = {}, True
-                else:
+                key, whole = (left, right), (h1, h2, pos - len(left), pos + len(right), None, None)
+                if full:
                     out.append((h1, h2, pos, None, left, right))
+                elif key in rows:
+                    out.append(whole)
+                    if first := rows[key]:
+                        out.append((first[0], first[1], first[2] - len(left), first[2] + len(right), None, None))
+                        rows[key] = None
+                else:
+                    rows[key] = (h1, h2, pos)
+                    if len(rows) > FULL:                    # those met again stand in for themselves as text (0, 0)
+                        out += [(*(x or (0, 0, 0)), None, *k) for k, x in rows.items()]
+                        rows, full = {}, True
                 if len(out) > 20_000:
-                    yield batch()
+                    yield _batch(out, _FOUND)
+                    out = []
         if not full:
             out += _of_gram(rows)
         if out:
-            yield batch()
+            yield _batch(out, _FOUND)
 
     return around.repartition("gram").sortWithinPartitions("gram").select(
-        "h1", "h2", "pos", "gram", "left", "right").mapInArrow(
+        "h1", "h2", "pos", "gram", "left", "right", "e").mapInArrow(
         run, "h1 long, h2 long, s long, e long, left binary, right binary")
 
 
+_WINDOW = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "h1", "h2", "s")])
+
+
 def _windows(full: DataFrame) -> DataFrame:
     """Repeated windows of overfull grams, each window by its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = []
             for h1, h2, pos, left, right in zip(*(c.to_pylist() for c in b.columns)):
                 data, k = left[::-1] + right, len(left)
-                starts = range(0, len(data) - LENGTH + 1)
-                if not len(starts):
-                    continue
-                codes = [xxhash.xxh3_128_intdigest(data[i:i + LENGTH]) for i in starts]
-                w = np.array([(c >> 64, c & _ONE) for c in codes], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([h1] * len(w)), pa.array([h2] * len(w)),
-                     pa.array([pos - k + i for i in starts], pa.int64())], ["w1", "w2", "h1", "h2", "s"])
+                for i in range(len(data) - LENGTH + 1):
+                    c = xxhash.xxh3_128_intdigest(data[i:i + LENGTH])
+                    rows.append(((c >> 64) - (1 << 63), (c & _ONE) - (1 << 63), h1, h2, pos - k + i))
+                if len(rows) > 20_000:
+                    yield _batch(rows, _WINDOW)
+                    rows = []
+            if rows:
+                yield _batch(rows, _WINDOW)
 
     seen = full.select("h1", "h2", F.col("s").alias("pos"), "left", "right").mapInArrow(
         run, "w1 long, w2 long, h1 long, h2 long, s long")
     at = F.struct("h1", "h2", "s")
     twice = seen.groupBy("w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("w1", "w2")
-    return seen.join(twice, ["w1", "w2"], "left_semi").select("h1", "h2", "s", (F.col("s") + LENGTH).alias("e"))
+    return seen.where("h1 <> 0 or h2 <> 0").join(twice, ["w1", "w2"], "left_semi").select("h1", "h2", "s", (F.col("s") + LENGTH).alias("e"))
 
 
 def _kept(rows: DataFrame, text: bool) -> DataFrame:
@@ -347,13 +370,8 @@ def _kept(rows: DataFrame, text: bool) -> DataFrame:
         for b in batches:
             out = []
             for doc_id, z, every, spans in zip(*(c.to_pylist() for c in b.columns)):
-                data, at, kept, gone = _read(z), 0, [], []
-                spans = [(0, len(data))] if every and len(data) >= LENGTH else sorted((x["s"], x["e"]) for x in spans or ())
-                for s, e in spans:
-                    if gone and s <= gone[-1][1]:
-                        gone[-1][1] = max(e, gone[-1][1])
-                    else:
-                        gone.append([s, e])
+                data, at, kept = _read(z), 0, []
+                gone = [(0, len(data))] if every and len(data) >= LENGTH else _merged((x["s"], x["e"]) for x in spans or ())
                 for s, e in gone:
                     kept.append(data[at:s])
                     at = e

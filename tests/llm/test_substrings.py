@@ -48,7 +48,7 @@ def test_equals_brute_force(spark, docs, monkeypatch, full):
             a = rng.randrange(0, len(b) // 2)
             t += word(rng.randrange(0, 60)) + b[a:a + rng.randrange(100, len(b))]
         rows.append((i, t))
-    rows += [(100, rows[3][1]), (101, "x" * 1000), (102, "xy" * 300), (103, base[5] + base[5][:300]), (104, "x" * 199)]
+    rows += [(100, rows[3][1]), (101, "x" * 1000), (102, "xy" * 300), (105, "Shti " * 400), (106, "a b" + "Shti " * 150 + "tail"), (103, base[5] + base[5][:300]), (104, "x" * 199)]
     got = digest(substrings.without_repeats(docs(rows)))
     assert got == brute([(d, t.encode()) for d, t in rows])
 
