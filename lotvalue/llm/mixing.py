@@ -1,11 +1,12 @@
 """Mixes sources to target weights by pivotal dependent rounding.
 
 Every row of a source is wanted ``target / source size`` times. The whole part is taken; the fractional parts are
-copy probabilities. Two of them are paired and mass moves from one to the other at random until one is 0 or 1, which
-keeps every probability in expectation and the sum exactly. Rows of a source meet in chunks of bounded size, in order of
+copy probabilities. Two of them are paired and mass, counted in words, moves from one to the other at random until one is 0 or 1, which
+keeps every probability in expectation and the sum of words exactly. Rows of a source meet in chunks of bounded size, in order of
 their size, so that mass moves between rows of like size; each chunk leaves one fractional row, and these meet in the next level of
 a reduction tree until one row of the source is left, which is rounded alone. A source that holds a third of all rows is
-many chunks. Probabilities are whole numbers of 2**-40, so no mass is lost.
+many chunks. Where the last row stands in one chunk with the others, smaller ones make good for its rounding. Masses are whole
+numbers of 2**-30 words, so none is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import WORD, pick, row_hash, store
 
 CAP = 3
 FAN = 4096
-ONE = 1 << 40
+ONE = 1 << 30
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
@@ -58,27 +59,27 @@ def _settling(last: bool):
 def _settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     """Pairs the fractional rows of one chunk; at most one stays fractional, none if ``last``."""
     pdf = pdf.sort_values(["size", "doc_id", "row"], kind="stable", na_position="last", ignore_index=True)
-    p, none = pdf["p"].tolist(), -1
+    size, p, none = pdf["size"].tolist(), pdf["p"].tolist(), -1
+    full, free = [ONE * n for n in size], [i for i, (q, n) in enumerate(zip(p, size)) if 0 < q < ONE * n]
     key = f"{pdf['source_no'].iat[0]} {pdf['chunk'].iat[0]} {pdf['level'].iat[0]}"
-    draw = np.random.default_rng(xxhash.xxh64_intdigest(key, 42)).random(len(p) + 1).tolist()
-    a = none
-    for b, q in enumerate(p):
-        if q in (0, ONE):
-            continue
+    rng, a = np.random.default_rng(xxhash.xxh64_intdigest(key, 42)), none
+    for b, draw in zip(free, rng.random(len(free)).tolist()):
         if a == none:
             a = b
             continue
-        s = p[a] + q
-        if s <= ONE:
-            win, lose = (a, b) if draw[b] * s < p[a] else (b, a)
-            p[win], p[lose] = s, 0
-            a = win if s < ONE else none
-        else:
-            full, rest = (a, b) if draw[b] * (2 * ONE - s) < ONE - q else (b, a)
-            p[full], p[rest] = ONE, s - ONE
-            a = rest
+        up, down = min(full[a] - p[a], p[b]), min(p[a], full[b] - p[b])     # what may go from b to a, from a to b
+        move = up if draw * (up + down) < down else -down
+        p[a], p[b] = p[a] + move, p[b] - move
+        a = a if 0 < p[a] < full[a] else b if 0 < p[b] < full[b] else none
     if last and a != none:
-        p[a] = ONE if draw[-1] * ONE < p[a] else 0
+        over = -p[a]
+        p[a] = full[a] if rng.random() * full[a] < p[a] else 0
+        over += p[a]
+        # The words that the last row gained or lost are made good by rows that are smaller than that, in random order.
+        for i in rng.permutation(free).tolist():
+            if i != a and full[i] <= abs(over) and p[i] == (full[i] if over > 0 else 0):
+                p[i] = full[i] - p[i]
+                over += full[i] if p[i] else -full[i]
     return pdf.assign(p=p)
 
 
@@ -94,7 +95,7 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     units = (units.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
              .withColumn("wanted", wanted)
              .select("source_no", "doc_id", "row", "size", "n", F.floor("wanted").alias("whole"),
-                     F.round((F.col("wanted") - F.floor("wanted")) * ONE).cast("long").alias("p"),
+                     (F.round((F.col("wanted") - F.floor("wanted")) * ONE).cast("long") * F.col("size")).alias("p"),
                      F.pmod(F.xxhash64("doc_id", "row"), parts).alias("chunk"), F.lit(0).alias("level")))
     schema = "source_no int, doc_id long, row long, size long, n long, whole long, p long, chunk long, level int"
     most = sources.agg(F.max(F.ceil(F.col("rows") / FAN)).alias("m")).first().m or 1
@@ -103,12 +104,12 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         settled = store(units.select(*[F.col(c.split()[0]) for c in schema.split(", ")])
                         .groupBy("source_no", "chunk").applyInPandas(_settling(level == levels - 1), schema),
                         "settled")
-        whole = settled.where(f"p = 0 or p = {ONE}")
+        whole = settled.where(f"p = 0 or p = {ONE} * size")
         done = whole if done is None else done.unionByName(whole)
-        units = settled.where(f"p > 0 and p < {ONE}").withColumn("chunk", F.floor(F.col("chunk") / FAN)) \
+        units = settled.where(f"p > 0 and p < {ONE} * size").withColumn("chunk", F.floor(F.col("chunk") / FAN)) \
             .withColumn("level", F.lit(level + 1))
     return done.select("source_no", "doc_id", "row", "size", "n",
-                       (F.col("whole") + (F.col("p") / ONE).cast("long")).alias("copies")), sources
+                       (F.col("whole") + (F.col("p") > 0).cast("long")).alias("copies")), sources
 
 
 def _sized(docs: DataFrame, *more) -> DataFrame:

@@ -40,7 +40,7 @@ def test_targets_and_taken_words(spark, small):
         taken[s] += r.taken
         largest[s] = max(largest[s], r["size"])
     for s in sizes:
-        assert abs(taken[s] - expected[s]) <= 2 * largest[s]
+        assert abs(taken[s] - expected[s]) <= largest[s]
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
 
 
@@ -55,12 +55,7 @@ def test_reduction_tree(spark, docs, monkeypatch):
         taken[s] += r.taken
         target[s] = r.target
         assert r.taken in {k * r["size"] for k in range(4)}
-    assert all(abs(taken[s] - target[s]) <= 60 for s in target)
-    copies, _ = mixing.copies(mixing._sized(docs(rows), F.lit(0).cast("long").alias("row")))
-    for r in copies.join(docs(rows), "doc_id").groupBy("source").agg(F.sum("copies").alias("c")).collect():
-        n = sum(x[3] == r.source for x in rows)
-        size = sum(len(x[1].split()) for x in rows if x[3] == r.source)
-        assert abs(r.c - n * target[r.source] / size) < 1           # mass is kept: rounded at the root only
+    assert all(abs(taken[s] - target[s]) <= 8 for s in target)      # mass is kept: rounded at the root only
 
 
 def test_edges(spark, docs):
