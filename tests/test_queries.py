@@ -32,3 +32,12 @@ def test_entry_has_rows(spark):
 
 def test_names():
     assert set(ORACLE) <= set(queries())
+
+
+def test_library_works_without_the_training_data_operators():
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['lotvalue.llm'] = sys.modules['corpus_pipeline'] = None\n"
+            "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) <= set(q)\n"
+            "assert not any(n.startswith('op') or n == 'pipeline' for n in q)")
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
