@@ -401,6 +401,7 @@ def without_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     at = F.struct("h1", "h2", "pos")
     # One gram twice in copies of one text only is no matter for comparison: copies are settled as a whole.
     again = found.groupBy("gram").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("gram")
+    again = store(again, "repeated_grams")      # stored, so that a gram with a third of all anchors can be split
     of_text = found.join(again, "gram", "left_semi").groupBy("h1", "h2").agg(
         F.collect_set(F.struct("pos", "gram")).alias("at"))
     of_text = store(of_text, "repeated_anchors")
