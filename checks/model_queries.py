@@ -255,7 +255,9 @@ def prediction_monitor(spark, d):
 
 # -- trained models: checked by row counts and by the tests ----------------------------------------------------
 
-SMALL = TrainingConfig(max_iter=8, max_depth=4, min_instances=10, step_size=0.3)
+CONFIG = TrainingConfig()
+METHODS = ["regular", "log"]
+FLOOR = 50                              # lots that a segment of the small test tables needs
 MODEL_COLUMNS = ["sold_date", "price", "hours", "year", "make_key", "make_model_key", "raw_model", "raw_category",
                  "raw_condition", "region", "specs"]
 
@@ -265,7 +267,7 @@ def _enriched(spark, d):
 
 
 def _one_model(spark, d, method):
-    return train_model(_enriched(spark, d), "all", method, i.TIES, SMALL, i.bucket())
+    return train_model(_enriched(spark, d), "all", method, i.TIES, CONFIG, i.bucket())
 
 
 MODEL_SPEC = ("tier:s, model_key:s, method:s, target_transform:s, n_train:i, n_val:i, n_test:i, n_trees:i, "
@@ -292,34 +294,37 @@ def price_drivers(spark, d):
     return _one_model(spark, d, "log").feature_importance().limit(10)
 
 
-def _segment_models(spark, d, methods=("log",)):
-    """Category models and the residual one, plus one brand segment, on the stored training set."""
+def segments(spark, d):
+    """Every category, the residual segment and every brand segment, on the training set stored by segment."""
     enriched = _enriched(spark, d)
-    floor = 50
-    segments = [s for s in fanout.category_segments(enriched, min_records=floor)
-                if s.key in ("tractors", "harvesting", "other")]
-    segments += [s for s in fanout.make_category_segments(enriched, min_records=floor) if s.key == "john-deere_tractors"]
-    models = fanout.train_segments(segments, list(methods), i.TIES, SMALL, parallelism=2, bucket=i.bucket())
+    return fanout.stored_by_segment(fanout.category_segments(enriched, min_records=FLOOR)
+                                    + fanout.make_category_segments(enriched, min_records=FLOOR))
+
+
+def _segment_models(spark, d, methods=("log",)):
+    models = fanout.train_segments(segments(spark, d), list(methods), i.TIES, CONFIG, parallelism=2, bucket=i.bucket())
     return models, fanout.registry(spark, models)
 
 
 @query("train_segments", MODEL_SPEC)
 def train_segments(spark, d):
-    return _segment_models(spark, d, ("regular", "log"))[1]
+    return _segment_models(spark, d, METHODS)[1]
 
 
-@query("train_imputed", MODEL_SPEC)
-def train_imputed(spark, d):
-    from lotvalue.functions.rules import CATEGORY_RULES
+def imputed_segments(spark, d):
+    """Every category, on lots whose missing values are imputed, stored by segment."""
     from lotvalue.operators.filters import IMPUTED_FIELDS, require_complete
     from lotvalue.operators.impute import clean_with_imputation
     from lotvalue.plans.datasets import enrich
     cleaned = clean_with_imputation(i.raw(spark, d, *i.TIES, *MODEL_COLUMNS), AS_OF_YEAR)
     usable = require_complete(cleaned.filter("price > 0"), IMPUTED_FIELDS)
     enriched = materialize(enrich(usable, roles.catalog(spark, d, ["lot_order"]), roles.FUTURE_SYMBOLS), "imputed")
-    rules = tuple(r for r in CATEGORY_RULES if r.key == "harvesting")
-    segments = fanout.imputed_segments(enriched, rules, min_records=50)
-    return fanout.registry(spark, fanout.train_segments(segments, ["log"], i.TIES, SMALL, 1, i.bucket()))
+    return fanout.stored_by_segment(fanout.imputed_segments(enriched, min_records=FLOOR))
+
+
+@query("train_imputed", MODEL_SPEC)
+def train_imputed(spark, d):
+    return fanout.registry(spark, fanout.train_segments(imputed_segments(spark, d), METHODS, i.TIES, CONFIG, 2, i.bucket()))
 
 
 @query("routed_scoring", KEY_SPEC + ", tier:s, model_key:s, prediction:f2")
