@@ -5,13 +5,14 @@ copy probabilities. Two of them are paired and mass, counted in words, moves fro
 keeps every probability in expectation and the sum of words exactly. Rows of a source meet in chunks of bounded size, in order of
 their size, so that mass moves between rows of like size; each chunk leaves one fractional row, and these meet in the next level of
 a reduction tree until one row of the source is left, which is rounded alone. A source that holds a third of all rows is
-many chunks. Where the last row stands in one chunk with the others, smaller ones make good for its rounding. Masses are whole
+many chunks. Smaller rows make good for the rounding of the last one: every chunk sends up, besides its fractional row, a reserve of
+a few settled rows of each power of two of sizes. How near a source comes to its target thus depends on its own rows only. Masses are whole
 numbers of 2**-30 words, so none is lost.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from .common import WORD, pick, row_hash, store
 
 CAP = 3
 FAN = 4096
+#: Rows a chunk holds in reserve, of each power of two of sizes: so many that are taken and so many that are not.
+RESERVE = 2
 ONE = 1 << 30
 
 
@@ -52,15 +55,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
         F.when(F.col("capped"), F.col("full")).otherwise(F.col("w") * F.col("rest") / F.col("rest_w")).alias("target"))
 
 
-def _settling(last: bool):
-    return lambda pdf: _settle(pdf, last)
-
-
-def _settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """Pairs the fractional rows of one chunk; at most one stays fractional, none if ``last``."""
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs the fractional rows of one chunk; at most one stays fractional, none in the last chunk of a source."""
     pdf = pdf.sort_values(["size", "doc_id", "row"], kind="stable", na_position="last", ignore_index=True)
     size, p, none = pdf["size"].tolist(), pdf["p"].tolist(), -1
     full, free = [ONE * n for n in size], [i for i, (q, n) in enumerate(zip(p, size)) if 0 < q < ONE * n]
+    reserve = free + np.flatnonzero(pdf["held"]).tolist()
     key = f"{pdf['source_no'].iat[0]} {pdf['chunk'].iat[0]} {pdf['level'].iat[0]}"
     rng, a = np.random.default_rng(xxhash.xxh64_intdigest(key, 42)), none
     for b, draw in zip(free, rng.random(len(free)).tolist()):
@@ -71,16 +71,27 @@ def _settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
         move = up if draw * (up + down) < down else -down
         p[a], p[b] = p[a] + move, p[b] - move
         a = a if 0 < p[a] < full[a] else b if 0 < p[b] < full[b] else none
+    last = pdf["parts"].iat[0] == 1
+    held = np.zeros(len(pdf), bool)
+    # From the largest power of two down, in random order within each.
+    order = sorted(rng.permutation(np.array(reserve, np.int64)).tolist(), key=lambda i: -size[i].bit_length())
     if last and a != none:
         over = -p[a]
         p[a] = full[a] if rng.random() * full[a] < p[a] else 0
         over += p[a]
-        # The words that the last row gained or lost are made good by rows that are smaller than that, in random order.
-        for i in rng.permutation(free).tolist():
+        # The words that the last row gained or lost are made good by rows that are no larger than that.
+        for i in order:
             if i != a and full[i] <= abs(over) and p[i] == (full[i] if over > 0 else 0):
                 p[i] = full[i] - p[i]
                 over += full[i] if p[i] else -full[i]
-    return pdf.assign(p=p)
+    elif not last:
+        seen = Counter()
+        for i in order:
+            kind = size[i].bit_length(), p[i] > 0
+            if i != a and seen[kind] < RESERVE:
+                seen[kind] += 1
+                held[i] = True
+    return pdf.assign(p=p, held=held)
 
 
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,18 +107,23 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
              .withColumn("wanted", wanted)
              .select("source_no", "doc_id", "row", "size", "n", F.floor("wanted").alias("whole"),
                      (F.round((F.col("wanted") - F.floor("wanted")) * ONE).cast("long") * F.col("size")).alias("p"),
-                     F.pmod(F.xxhash64("doc_id", "row"), parts).alias("chunk"), F.lit(0).alias("level")))
-    schema = "source_no int, doc_id long, row long, size long, n long, whole long, p long, chunk long, level int"
+                     F.pmod(F.xxhash64("doc_id", "row"), parts).alias("chunk"), F.lit(0).alias("level"),
+                     parts.alias("parts"), F.lit(False).alias("held")))
+    schema = ("source_no int, doc_id long, row long, size long, n long, whole long, p long, chunk long, level int, "
+              "parts long, held boolean")
     most = sources.agg(F.max(F.ceil(F.col("rows") / FAN)).alias("m")).first().m or 1
-    levels, done = 1 + (math.ceil(math.log(most, FAN)) if most > 1 else 0), None
-    for level in range(levels):
+    level, done = 0, None
+    while True:
         settled = store(units.select(*[F.col(c.split()[0]) for c in schema.split(", ")])
-                        .groupBy("source_no", "chunk").applyInPandas(_settling(level == levels - 1), schema),
-                        "settled")
-        whole = settled.where(f"p = 0 or p = {ONE} * size")
+                        .groupBy("source_no", "chunk").applyInPandas(_settle, schema), "settled")
+        goes_on = F.col("held") | ((F.col("p") > 0) & (F.col("p") < F.col("size") * ONE))
+        whole = settled.where(~goes_on)
         done = whole if done is None else done.unionByName(whole)
-        units = settled.where(f"p > 0 and p < {ONE} * size").withColumn("chunk", F.floor(F.col("chunk") / FAN)) \
-            .withColumn("level", F.lit(level + 1))
+        if most == 1:
+            break
+        level, most = level + 1, -(-most // FAN)
+        units = settled.where(goes_on).withColumn("chunk", F.floor(F.col("chunk") / FAN)) \
+            .withColumn("parts", F.ceil(F.col("parts") / FAN)).withColumn("level", F.lit(level))
     return done.select("source_no", "doc_id", "row", "size", "n",
                        (F.col("whole") + (F.col("p") > 0).cast("long")).alias("copies")), sources
 

@@ -76,3 +76,17 @@ def test_mixed_rows_follow_copies(spark, small):
     want = {r.doc_id: r.copies for r in mixing.copies(mixing._sized(docs, mixing.row_hash(docs).alias("row")))[0].collect()}
     got = Counter(r.doc_id for r in mixing.mixed(docs).collect())
     assert got == Counter({k: v for k, v in want.items() if v})
+
+
+def test_accuracy_of_a_source_depends_on_its_own_rows(spark, docs, monkeypatch):
+    # Rows of 1 to 100 words; the largest are the last to be rounded. The other source is small or large.
+    size = lambda i: 1 + i * 37 % 100                                               # noqa: E731
+    small = [(i, "w " * size(i), "en", "b") for i in range(100)]
+    monkeypatch.setattr(mixing, "FAN", 128)
+    for n in (90, 1500):
+        rows = small + [(1000 + i, "w " * size(i), "en", "a") for i in range(n)]
+        got = mixing.mix(docs(rows)).collect()
+        assert len(got) == len(rows)
+        for name in ("a", "b"):
+            own = [r for r in got if (r.doc_id < 1000) == (name == "b")]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 2, (n, name)
