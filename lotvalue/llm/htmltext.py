@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of text blocks, each with its tag path: the block elements from the root down, with their class
-names. What is named as a menu, form, advert, notice, comment and the like, by its element, role or class, is left
-out first. Text length and punctuation are summed per path and divided by its number of blocks; the fused ratios are smoothed along the
+names. What is a menu, form, advert, notice and the like by its element or role is left out first. So is what a whole class or id
+names so, unless it holds most of the page's text or its largest article; a part of a name only lowers a ratio. Text length and punctuation are summed per path and divided by its number of blocks; the fused ratios are smoothed along the
 page, and paths whose blocks stay under a share of their standard deviation are no content. The blocks that are content span
 a container; everything that stands in it is kept, links lists excepted, so a short paragraph or a heading between long ones is not lost.
 Every page is read by itself in one task; nothing grows with the number of pages.
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Share of the standard deviation of the smoothed ratios that content reaches.
 SHARE = 0.5
+#: What an element counts for whose class or id holds a listed word beside others.
+PART = 0.5
 KERNEL = np.array([0.25, 0.5, 0.25])
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp svg math object canvas audio video select".split())
@@ -29,7 +31,7 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 LEFT_OUT = set("head nav footer aside form button fieldset dialog menu".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar "
             "tablist tooltip status".split())
-#: Names that mark what surrounds an article, as a part of a class or id.
+#: Names that mark what surrounds an article: a class or id all of whose words are among them.
 NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav "
             "navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar aside cookie cookies consent gdpr notice "
             "alert popup modal overlay newsletter subscribe subscription signup login signin comment comments respond "
@@ -52,25 +54,34 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)} if "=" in rest or rest.strip() else {}
 
 
+def _named(tag: str, given: dict[str, str], inside: bool) -> float:
+    """What a block's ratio counts for by the names of an element: 0 if a whole class or id is listed, half if a part is."""
+    if not given or tag in KEEPERS:
+        return 1.0
+    parts = [{w.lower() for w in WORDS.findall(x)} for x in f"{given.get('class', '')} {given.get('id', '')}".split()]
+    listed = NAMES if inside or tag == "article" else NAMES | HEADER
+    if any(x and x <= listed for x in parts):
+        return 0.0
+    return 1.0 if all(x.isdisjoint(listed) for x in parts) else PART
+
+
 def _left_out(tag: str, given: dict[str, str], inside: bool) -> bool:
     """inside: within an article or main element, whose own header belongs to it."""
     if tag in LEFT_OUT or tag in HEADER and not inside:
         return True
     if not given or tag in KEEPERS:
         return False
-    if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role", "").lower() in ROLES \
-            or re.search(r"display\s*:\s*none", given.get("style", "")):
-        return True
-    named = {w.lower() for w in WORDS.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-    return not named.isdisjoint(NAMES) or (not inside and tag != "article" and not named.isdisjoint(HEADER))
+    return "hidden" in given or given.get("aria-hidden") == "true" or given.get("role", "").lower() in ROLES \
+        or bool(re.search(r"display\s*:\s*none", given.get("style", "")))
 
 
-def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
-    """(path, text, characters within links) of the text blocks that are not left out, in page order.
+def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple[tuple[int, float], ...]]]:
+    """(path, text, characters within links, names) of the text blocks that are not left out, in page order.
 
-    A path is a tuple of (name, number of the element), so that equal names tell ratios and numbers tell containers.
+    A path is a tuple of (name, number of the element), so that equal names tell ratios and numbers tell containers. Names are
+    the (number, weight) of the elements around the block whose names speak against it.
     """
-    stack: list[tuple[str, str, int, bool]] = []            # tag, name, number, left out
+    stack: list[tuple[str, str, int, bool, float]] = []     # tag, name, number, left out, weight by its names
     out, words, linked, number, links = [], [], 0, 0, 0
     at = 0
 
@@ -78,7 +89,8 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
         nonlocal words, linked
         text = " ".join("".join(words).split())
         if text:
-            out.append((tuple((s[1], s[2]) for s in stack if s[0] not in INLINE), text, linked))
+            out.append((tuple((s[1], s[2]) for s in stack if s[0] not in INLINE), text, linked,
+                        tuple((s[2], s[4]) for s in stack if s[4] < 1)))
         words, linked = [], 0
 
     def pop_to(k):
@@ -136,20 +148,39 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
         number += 1
         links += tag == "a"
         name = f"{tag}.{given['class'].strip()}" if given.get("class") else tag
-        stack.append((tag, name, number, hidden or _left_out(tag, given, inside)))
+        stack.append((tag, name, number, hidden or _left_out(tag, given, inside), _named(tag, given, inside)))
     flush()
     return out
 
 
-def ratios(found: list) -> np.ndarray:
+def weights(found: list) -> np.ndarray:
+    """The least weight that names give each block.
+
+    Names don't count on an element that holds most of the page's text, or the article or main element with the most text.
+    """
+    held, marked = defaultdict(int), defaultdict(int)
+    for path, text, _, named in found:
+        for number in {n for _, n in path} | {n for n, _ in named}:
+            held[number] += len(text)
+        first = next((n for x, n in path if x.split(".")[0] in ("article", "main")), None)
+        if first is not None:
+            marked[first] += len(text)
+    best = max(marked, key=marked.get, default=None)
+    around = {n for path, _, _, _ in found for k, (_, n) in enumerate(path) if best in [m for _, m in path[k:]]}
+    half = sum(len(text) for _, text, _, _ in found) / 2
+    return np.array([min([w for n, w in named if n not in around and held[n] <= half], default=1.0)
+                     for _, _, _, named in found])
+
+
+def ratios(found: list, weight: np.ndarray) -> np.ndarray:
     """The smoothed fused ratio of each block's path."""
     length, points, n = defaultdict(int), defaultdict(int), defaultdict(int)
-    names = [tuple(x for x, _ in path) for path, _, _ in found]
-    for name, (_, text, linked) in zip(names, found):
+    names = [tuple(x for x, _ in path) for path, *_ in found]
+    for name, (_, text, linked, _) in zip(names, found):
         length[name] += max(0, len(text) - linked)
         points[name] += len(POINTS.findall(text))
         n[name] += 1
-    fused = np.array([length[x] / n[x] * (1 + points[x] / n[x]) for x in names])
+    fused = weight * np.array([length[x] / n[x] * (1 + points[x] / n[x]) for x in names])
     return np.convolve(np.pad(fused, 1, mode="edge"), KERNEL, mode="valid")
 
 
@@ -162,19 +193,23 @@ def main_text(page: str | None) -> str:
     found = blocks((page or "").replace("\0", ""))
     if not found:
         return ""
-    smooth = ratios(found)
-    list_like = np.array([2 * linked > len(text) for _, text, linked in found])
+    weight = weights(found)
+    found, weight = [x for x, w in zip(found, weight) if w > 0], weight[weight > 0]
+    if not found:
+        return ""
+    smooth = ratios(found, weight)
+    list_like = np.array([2 * linked > len(text) for _, text, linked, _ in found])
     chosen = np.flatnonzero((smooth >= SHARE * smooth.std()) & ~list_like)
     if not len(chosen):
         return ""
-    marked = [k for k, (path, _, _) in enumerate(found) if any(x.split(".")[0] in ("article", "main") for x, _ in path)]
+    marked = [k for k, (path, *_) in enumerate(found) if any(x.split(".")[0] in ("article", "main") for x, _ in path)]
     if marked and not set(marked).isdisjoint(chosen):
         kept = [k for k in marked if not list_like[k]]      # the page says itself where its article stands
     else:
         paths = [found[k][0] for k in chosen]
         depth = next((d for d in range(min(map(len, paths))) if len({p[d] for p in paths}) > 1), min(map(len, paths)))
         top = paths[0][:depth]
-        held = [k for k, (path, _, _) in enumerate(found) if path[:depth] == top and not list_like[k]]
+        held = [k for k, (path, *_) in enumerate(found) if path[:depth] == top and not list_like[k]]
         first = chosen[0]
         while first - 1 in held and re.match(r"h[1-6]\b", found[first - 1][0][-1][0] if found[first - 1][0] else ""):
             first -= 1                                      # headings right before the first content

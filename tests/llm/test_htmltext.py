@@ -57,3 +57,13 @@ def test_edges(spark):
     assert got[:3] == [(1, None, 0), (None, "u", 0), (2, "u", 0)]
     assert [g[2] for g in got[3:5]] == [499999, 499999] and got[6][2] == 4
     assert htmltext.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_names_are_evidence():
+    read, want = htmltext.main_text, f"T\n{LONG.strip()}"
+    body = f"<h1>T</h1><p>{LONG}</p>"
+    assert read(f"<div class='layout has-sidebar'><article>{body}</article></div>") == want
+    assert read(f"<article class='post social'>{body}</article><div class=ad>buy</div>") == want
+    assert read(f"<div class='legal-text'>{body}</div>") == want and read(f"<div class='legal'>{body}</div>") == want
+    assert read(f"<div id='search-result-page'><main>{body}</main></div>") == want
+    assert read(f"<article>{body}<div class='share-social'>{LONG[:60]}</div></article>") == want
