@@ -4,7 +4,7 @@ A page is read as a sequence of text blocks, each with its tag path: the block e
 names. What is a menu, form, advert, notice and the like by its element or role is left out first. So is what a whole class or id
 names so, unless it holds most of the page's text or its largest article; a part of a name only lowers a ratio. Text length and punctuation are summed per path and divided by its number of blocks; the fused ratios are smoothed along the
 page, and paths whose blocks stay under a share of their standard deviation are no content. The blocks that are content span
-a container; everything that stands in it is kept, links lists excepted, so a short paragraph or a heading between long ones is not lost.
+a container; everything that stands in it is kept, so a short paragraph or a heading between long ones is not lost.
 Every page is read by itself in one task; nothing grows with the number of pages.
 """
 
@@ -81,7 +81,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple
     A path is a tuple of (name, number of the element), so that equal names tell ratios and numbers tell containers. Names are
     the (number, weight) of the elements around the block whose names speak against it.
     """
-    stack: list[tuple[str, str, int, bool, float]] = []     # tag, name, number, left out, weight by its names
+    stack: list[tuple[str, str, int, bool, float, bool]] = []   # tag, name, number, left out, weight by names, is a link
     out, words, linked, number, links = [], [], 0, 0, 0
     at = 0
 
@@ -97,7 +97,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple
         nonlocal links
         if any(s[0] not in INLINE for s in stack[k:]):
             flush()
-        links -= sum(s[0] == "a" for s in stack[k:])
+        links -= sum(s[5] for s in stack[k:])
         del stack[k:]
 
     while at < len(page):
@@ -142,13 +142,18 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple
                     if stack[k][0] in STOPS.get(tag, ()):
                         break
             flush()
+        if tag == "a":                                      # ends an open one
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"), None)
+            if k is not None and all(s[0] in INLINE for s in stack[k:]):
+                pop_to(k)
         hidden = bool(stack) and stack[-1][3]
         given = _attributes(m["rest"] or "")
         inside = any(s[0] in ("article", "main") for s in stack)
         number += 1
-        links += tag == "a"
+        link = tag == "a" and "href" in given
+        links += link
         name = f"{tag}.{given['class'].strip()}" if given.get("class") else tag
-        stack.append((tag, name, number, hidden or _left_out(tag, given, inside), _named(tag, given, inside)))
+        stack.append((tag, name, number, hidden or _left_out(tag, given, inside), _named(tag, given, inside), link))
     flush()
     return out
 
@@ -184,6 +189,15 @@ def ratios(found: list, weight: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(fused, 1, mode="edge"), KERNEL, mode="valid")
 
 
+def _linky(found: list) -> np.ndarray:
+    """Blocks that are mostly links, headings aside."""
+    return np.array([2 * linked > len(text) and not _heading(path) for path, text, linked, _ in found])
+
+
+def _heading(path) -> bool:
+    return bool(path) and re.match(r"h[1-6]\b", path[-1][0]) is not None
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, one a line; empty if there are none.
 
@@ -198,20 +212,23 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     smooth = ratios(found, weight)
-    list_like = np.array([2 * linked > len(text) for _, text, linked, _ in found])
-    chosen = np.flatnonzero((smooth >= SHARE * smooth.std()) & ~list_like)
+    marked = [k for k, (path, *_) in enumerate(found) if any(x.split(".")[0] in ("article", "main") for x, _ in path)]
+    linky = _linky(found)
+    list_like = linky & (np.r_[False, linky[:-1]] | np.r_[linky[1:], False])     # runs of two or more
+    linky[marked] = False
+    chosen = np.flatnonzero((smooth >= SHARE * smooth.std()) & ~linky)
     if not len(chosen):
         return ""
-    marked = [k for k, (path, *_) in enumerate(found) if any(x.split(".")[0] in ("article", "main") for x, _ in path)]
     if marked and not set(marked).isdisjoint(chosen):
-        kept = [k for k in marked if not list_like[k]]      # the page says itself where its article stands
+        kept = marked                                       # the page says itself where its article stands
     else:
         paths = [found[k][0] for k in chosen]
         depth = next((d for d in range(min(map(len, paths))) if len({p[d] for p in paths}) > 1), min(map(len, paths)))
         top = paths[0][:depth]
-        held = [k for k, (path, *_) in enumerate(found) if path[:depth] == top and not list_like[k]]
+        loose = not top or top[-1][0].split(".")[0] in ("html", "body")      # the whole page is no container of an article
+        held = [k for k, (path, *_) in enumerate(found) if path[:depth] == top and not (loose and list_like[k])]
         first = chosen[0]
-        while first - 1 in held and re.match(r"h[1-6]\b", found[first - 1][0][-1][0] if found[first - 1][0] else ""):
+        while first - 1 in held and _heading(found[first - 1][0]):
             first -= 1                                      # headings right before the first content
         kept = [k for k in held if first <= k <= chosen[-1]]
     return "\n".join(found[k][1] for k in kept)

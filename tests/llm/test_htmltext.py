@@ -67,3 +67,16 @@ def test_names_are_evidence():
     assert read(f"<div class='legal-text'>{body}</div>") == want and read(f"<div class='legal'>{body}</div>") == want
     assert read(f"<div id='search-result-page'><main>{body}</main></div>") == want
     assert read(f"<article>{body}<div class='share-social'>{LONG[:60]}</div></article>") == want
+
+
+def test_links_within_the_article_stay():
+    read, text = htmltext.main_text, LONG.strip()
+    assert read(f"<article><h1><a href=/t>Title</a></h1><p>{LONG}</p><ul><li><a href=a>Ref one</a><li><a href=b>Ref two</a></ul>"
+                f"<p><a href=c>See there</a>.</p></article>") == f"Title\n{text}\nRef one\nRef two\nSee there."
+    assert read(f"<div><h2><a href=/t>Title</a></h2><p>{LONG}</p><p><a href=x>One link</a></p><p>{LONG}</p></div>") \
+        == f"Title\n{text}\nOne link\n{text}"
+    assert read(f"<div class=x><a name=top><p>{LONG}</p><p>{LONG}</p></div>") == f"{text}\n{text}"
+    assert read(f"<p>{LONG}<a href=x>one <a name=y>two</p>") == f"{text} one two"
+    assert htmltext.blocks("<p><a href=x>one <a name=y>two")[0][2] == 3
+    links = "".join(f"<p><a href={i}>Menu item {i}</a></p>" for i in range(5))
+    assert read(f"<body><div><p>{LONG}</p></div><div>{links}</div><div><p>{LONG}</p></div></body>") == f"{text}\n{text}"
