@@ -4,7 +4,7 @@ A page is read as a sequence of text blocks, each with its tag path: the block e
 names. What is a menu, form, advert, notice and the like by its element or role is left out first. So is what a whole class or id
 names so, unless it holds most of the page's text or its largest article; a part of a name only lowers a ratio. Text length and punctuation are summed per path and divided by its number of blocks; the fused ratios are smoothed along the
 page, and paths whose blocks stay under a share of their standard deviation are no content. The blocks that are content span
-a container; everything that stands in it is kept, so a short paragraph or a heading between long ones is not lost.
+a container; everything that stands in it is kept (of an article or main element in which the ratios chose a block, all of it), so a short paragraph or a heading between long ones is not lost.
 Every page is read by itself in one task; nothing grows with the number of pages.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Share of the standard deviation of the smoothed ratios that content reaches.
 SHARE = 0.5
+#: What the ratio of a path within an article or main element counts for, beside others.
+BONUS = 2.0
 #: What an element counts for whose class or id holds a listed word beside others.
 PART = 0.5
 KERNEL = np.array([0.25, 0.5, 0.25])
@@ -161,32 +163,38 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple
 def weights(found: list) -> np.ndarray:
     """The least weight that names give each block.
 
-    Names don't count on an element that holds most of the page's text, or the article or main element with the most text.
+    Names don't count on an element that holds most of the page's text, or the article or main element with the most text. Beside
+    an article, a lone block is not taken for most of the page, as an advert next to a few words would be.
     """
-    held, marked = defaultdict(int), defaultdict(int)
+    held, blocks_in, marked = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, _, named in found:
         for number in {n for _, n in path} | {n for n, _ in named}:
             held[number] += len(text)
-        first = next((n for x, n in path if x.split(".")[0] in ("article", "main")), None)
+            blocks_in[number] += 1
+        first = _article(path)
         if first is not None:
             marked[first] += len(text)
     best = max(marked, key=marked.get, default=None)
     around = {n for path, _, _, _ in found for k, (_, n) in enumerate(path) if best in [m for _, m in path[k:]]}
     half = sum(len(text) for _, text, _, _ in found) / 2
-    return np.array([min([w for n, w in named if n not in around and held[n] <= half], default=1.0)
+    return np.array([min([w for n, w in named if n not in around and (held[n] <= half or marked and blocks_in[n] == 1)], default=1.0)
                      for _, _, _, named in found])
 
 
 def ratios(found: list, weight: np.ndarray) -> np.ndarray:
-    """The smoothed fused ratio of each block's path."""
+    """The fused ratio of each block's path, times its weight."""
     length, points, n = defaultdict(int), defaultdict(int), defaultdict(int)
     names = [tuple(x for x, _ in path) for path, *_ in found]
     for name, (_, text, linked, _) in zip(names, found):
         length[name] += max(0, len(text) - linked)
         points[name] += len(POINTS.findall(text))
         n[name] += 1
-    fused = weight * np.array([length[x] / n[x] * (1 + points[x] / n[x]) for x in names])
-    return np.convolve(np.pad(fused, 1, mode="edge"), KERNEL, mode="valid")
+    return weight * np.array([length[x] / n[x] * (1 + points[x] / n[x]) for x in names])
+
+
+def _article(path) -> int | None:
+    """The number of the outermost article or main element."""
+    return next((n for x, n in path if x.split(".")[0] in ("article", "main")), None)
 
 
 def _linky(found: list) -> np.ndarray:
@@ -211,22 +219,31 @@ def main_text(page: str | None) -> str:
     found, weight = [x for x, w in zip(found, weight) if w > 0], weight[weight > 0]
     if not found:
         return ""
-    smooth = ratios(found, weight)
-    marked = [k for k, (path, *_) in enumerate(found) if any(x.split(".")[0] in ("article", "main") for x, _ in path)]
+    of = [_article(path) for path, *_ in found]
+    marked = np.array([x is not None for x in of])
     linky = _linky(found)
     list_like = linky & (np.r_[False, linky[:-1]] | np.r_[linky[1:], False])     # runs of two or more
-    linky[marked] = False
-    chosen = np.flatnonzero((smooth >= SHARE * smooth.std()) & ~linky)
-    if not len(chosen):
+    fused = ratios(found, np.where(marked, BONUS * weight, weight))
+    smooth = np.convolve(np.pad(fused, 1, mode="edge"), KERNEL, mode="valid")
+    limit = SHARE * smooth.std()
+    passed = (smooth >= limit) & (marked | ~linky)
+    if not passed.any():
         return ""
-    if marked and not set(marked).isdisjoint(chosen):
-        kept = marked                                       # the page says itself where its article stands
+    alone = passed & (fused >= limit)                       # not only by what its neighbours lend
+    alone = alone if alone.any() else passed
+    size = np.array([len(text) for _, text, _, _ in found])
+    articles = {of[k] for k in np.flatnonzero(alone & marked)}
+    within = np.array([x in articles for x in of]) & marked
+    if articles and BONUS * size[alone & marked].sum() >= size[alone & ~marked].sum():
+        kept = np.flatnonzero(within)                       # an article closes all gaps around what was chosen in it
     else:
+        out = marked & ~within                              # articles that the ratios left out, as cards
+        chosen = np.flatnonzero((passed | within) & ~out)
         paths = [found[k][0] for k in chosen]
         depth = next((d for d in range(min(map(len, paths))) if len({p[d] for p in paths}) > 1), min(map(len, paths)))
         top = paths[0][:depth]
         loose = not top or top[-1][0].split(".")[0] in ("html", "body")      # the whole page is no container of an article
-        held = [k for k, (path, *_) in enumerate(found) if path[:depth] == top and not (loose and list_like[k])]
+        held = [k for k, (path, *_) in enumerate(found) if path[:depth] == top and not (out[k] or loose and list_like[k])]
         first = chosen[0]
         while first - 1 in held and _heading(found[first - 1][0]):
             first -= 1                                      # headings right before the first content

@@ -80,3 +80,14 @@ def test_links_within_the_article_stay():
     assert htmltext.blocks("<p><a href=x>one <a name=y>two")[0][2] == 3
     links = "".join(f"<p><a href={i}>Menu item {i}</a></p>" for i in range(5))
     assert read(f"<body><div><p>{LONG}</p></div><div>{links}</div><div><p>{LONG}</p></div></body>") == f"{text}\n{text}"
+
+
+def test_ratios_choose_also_among_articles():
+    read, text = htmltext.main_text, LONG.strip()
+    story = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    want = f"Title\n{text}\n{text}\nShort.\n{text}"
+    cards = "".join(f"<article class=card><h3>Other {i}</h3><p>A few words.</p></article>" for i in range(4))
+    assert read(f"<body><div class=story>{story}</div><div class=more>{cards}</div></body>") == want
+    assert read(f"<body><div class=story>{story}</div>{cards}</body>") == want
+    assert read(f"<body>{cards}<article>{story}</article>{cards}<div>Imprint and more.</div></body>") == want
+    assert read(f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body>") == f"{text}\n{text}"
