@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotvalue.functions.rules import CATEGORY_RULES, MAKE_CATEGORY_RULES, OTHER, category_key, make_category_key
-from lotvalue.operators import cleaning, evaluate, profiling, routing, valuation
+from lotvalue.operators import cleaning, evaluate, forest, profiling, routing, training, valuation
 from lotvalue.operators.training import TrainingConfig, train_model
 from lotvalue.plans import fanout
 from lotvalue.plans.batch_valuation import value_requests
@@ -266,11 +266,55 @@ def _enriched(spark, d):
     return i.stored_training(spark, d, *i.TIES, *MODEL_COLUMNS)
 
 
-def _one_model(spark, d, method):
-    return train_model(_enriched(spark, d), "all", method, i.TIES, CONFIG, i.bucket())
+_trained: dict = {}                     # what this application has trained, for the queries that share it
 
 
-MODEL_SPEC = ("tier:s, model_key:s, method:s, target_transform:s, n_train:i, n_val:i, n_test:i, n_trees:i, "
+def _one_model(spark, d, method):
+    key = (spark.sparkContext.applicationId, d, "all", method)
+    if key not in _trained:
+        _trained[key] = train_model(_enriched(spark, d), "all", method, i.TIES, CONFIG, i.bucket())
+    return _trained[key]
+
+
+REGIONS = ["africa", "america", "asia", "europe", "middle east"]
+
+
+def _leaf(tree, weight, node, value):
+    return F.struct(F.lit(tree).alias("tree"), F.lit(weight).alias("weight"), F.lit(node).alias("node"), F.lit(None).cast("string").alias("feature"),
+                    F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("array<int>").alias("levels"),
+                    F.lit(-1).alias("left"), F.lit(-1).alias("right"), F.lit(value).cast("double").alias("prediction"))
+
+
+def _split(tree, weight, node, feature, left, right, threshold=None, levels=None):
+    return F.struct(F.lit(tree).alias("tree"), F.lit(weight).alias("weight"), F.lit(node).alias("node"), F.lit(feature).alias("feature"),
+                    F.lit(threshold).cast("double").alias("threshold"),
+                    (F.array(*map(F.lit, levels)) if levels else F.lit(None)).cast("array<int>").alias("levels"),
+                    F.lit(left).alias("left"), F.lit(right).alias("right"), F.lit(None).cast("double").alias("prediction"))
+
+
+@query("tree_scoring", KEY_SPEC + ", model_key:s, score:f4", f"""
+    SELECT q.*, CASE WHEN q.hours <= h THEN p WHEN q.year <= y THEN p / 2 ELSE p / 4 END
+        + 0.5::double * CASE WHEN q.region IN ('africa', 'asia') THEN 100 WHEN q.hours <= h / 2 THEN 40 ELSE 20 END AS score
+    FROM (SELECT *, {CATEGORY_KEY} AS model_key FROM requests) AS q LEFT JOIN (
+        SELECT {CATEGORY_KEY} AS k, floor(avg(hours)) AS h, floor(avg(year)) AS y, floor(avg(price)) AS p FROM lots GROUP BY 1) AS s
+    ON s.k = q.model_key""")
+def tree_scoring(spark, d):
+    """A table of small trees, one pair per category, with its thresholds and leaves from the lots: scored in one pass."""
+    fitted = i.lots(spark, d, "hours", "year", "price", "raw_category").groupBy(category_key(F.col("raw_category")).alias("model_key")).agg(
+        F.floor(F.avg("hours")).alias("h"), F.floor(F.avg("year")).alias("y"), F.floor(F.avg("price")).alias("p"))
+    h, y, p = F.col("h"), F.col("y"), F.col("p")
+    nodes = F.array(_split(0, 1.0, 0, "hours", 1, 2, h), _leaf(0, 1.0, 1, p), _split(0, 1.0, 2, "year", 3, 4, y),
+                    _leaf(0, 1.0, 3, p / 2), _leaf(0, 1.0, 4, p / 4), _split(1, 0.5, 0, "region", 1, 2, levels=[0, 2]),
+                    _leaf(1, 0.5, 1, F.lit(100)), _split(1, 0.5, 2, "hours", 3, 4, h / 2), _leaf(1, 0.5, 3, F.lit(40)), _leaf(1, 0.5, 4, F.lit(20)))
+    table = materialize(fitted.select("model_key", F.inline(nodes)).withColumns({"gain": F.lit(0.0), "rows": F.lit(0)}), "nodes")
+    code = F.array_position(F.array(*map(F.lit, REGIONS)), F.col("region"))
+    x = F.array(F.col("hours").cast("double"), F.col("year").cast("double"),
+                F.when(code > 0, code - 1).otherwise(len(REGIONS)).cast("double"))
+    rows = i.requests(spark, d).withColumn("model_key", category_key(F.col("raw_category")))
+    return forest.with_scores(rows, x, table, ["hours", "year", "region"], "model_key", name="score")
+
+
+MODEL_SPEC = ("tier:s, model_key:s, method:s, target_transform:s, n_train:i, n_val:i, n_test:i, n_trees:i, best_iteration:i, "
               "test_rmse:f2, test_mape:f3, test_r2:f4")
 
 
@@ -284,12 +328,35 @@ def train_log_gbt(spark, d):
     return fanout.registry(spark, {("generic", "all", "log"): _one_model(spark, d, "log")})
 
 
-@query("feature_importance", "feature:s, importance:f6")
+@query("feature_importance", "feature:s, importance:f6, n_splits:i")
 def feature_importance(spark, d):
     return _one_model(spark, d, "log").feature_importance()
 
 
-@query("price_drivers", "feature:s, importance:f6")
+@query("validation_curve", "model:s, round:i, val_error:f6, is_best:i")
+def validation_curve(spark, d):
+    return _one_model(spark, d, "log").validation_curve().withColumn("model", F.lit("all_log"))
+
+
+FOLDS, PRIOR = 5, 20.0
+
+
+@query("level_means_by_fold", "feature:s, level:s, fold:i, n:i, mean:f6", f"""
+    SELECT t.feature, t.level, f.fold, t.n - coalesce(o.n, 0) AS n,
+        (t.total - coalesce(o.total, 0) + a.overall * {PRIOR}::double) / (t.n - coalesce(o.n, 0) + {PRIOR}::double) AS mean
+    FROM (SELECT feature, level, count(label) AS n, sum(label) AS total FROM rows_by_feature GROUP BY 1, 2) AS t
+    CROSS JOIN (SELECT unnest(generate_series(0, {FOLDS - 1})) AS fold) AS f CROSS JOIN (SELECT avg(price) AS overall FROM lots) AS a
+    LEFT JOIN (SELECT feature, level, fold, count(label) AS n, sum(label) AS total FROM rows_by_feature GROUP BY 1, 2, 3) AS o
+        ON o.feature = t.feature AND o.level IS NOT DISTINCT FROM t.level AND o.fold = f.fold""".replace(
+    "rows_by_feature", f"""(SELECT lot_order % {FOLDS} AS fold, price AS label, 'make_model_key' AS feature, make_model_key AS level FROM lots
+        UNION ALL SELECT lot_order % {FOLDS}, price, 'raw_category', raw_category FROM lots) AS r"""))
+def level_means_by_fold(spark, d):
+    lots = i.lots(spark, d, "lot_order", "make_model_key", "raw_category", "price")
+    totals = training.level_totals(lots, F.col("price"), ["make_model_key", "raw_category"], F.pmod("lot_order", F.lit(FOLDS)), FOLDS)
+    return training.level_means_by_fold(totals, lots.agg(F.avg("price")).first()[0], PRIOR)
+
+
+@query("price_drivers", "feature:s, importance:f6, n_splits:i")
 def price_drivers(spark, d):
     return _one_model(spark, d, "log").feature_importance().limit(10)
 
@@ -302,7 +369,13 @@ def segments(spark, d):
 
 
 def _segment_models(spark, d, methods=("log",)):
-    models = fanout.train_segments(segments(spark, d), list(methods), i.TIES, CONFIG, parallelism=2, bucket=i.bucket())
+    held = _trained.setdefault((spark.sparkContext.applicationId, d, "segments"), {})
+    missing = [m for m in methods if m not in held]
+    if missing:
+        models = fanout.train_segments(segments(spark, d), missing, i.TIES, CONFIG, bucket=i.bucket())
+        for m in missing:
+            held[m] = {k: model for k, model in models.items() if k[2] == m}
+    models = {k: model for m in methods for k, model in held[m].items()}
     return models, fanout.registry(spark, models)
 
 
@@ -324,7 +397,7 @@ def imputed_segments(spark, d):
 
 @query("train_imputed", MODEL_SPEC)
 def train_imputed(spark, d):
-    return fanout.registry(spark, fanout.train_segments(imputed_segments(spark, d), METHODS, i.TIES, CONFIG, 2, i.bucket()))
+    return fanout.registry(spark, fanout.train_segments(imputed_segments(spark, d), METHODS, i.TIES, CONFIG, bucket=i.bucket()))
 
 
 @query("routed_scoring", KEY_SPEC + ", tier:s, model_key:s, prediction:f2")

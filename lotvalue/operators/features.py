@@ -153,19 +153,24 @@ def add_temporal(df: DataFrame) -> DataFrame:
 
 
 def add_macro(df: DataFrame, stats: dict) -> DataFrame:
-    """Economic indicators relative to the fitted statistics."""
+    """Economic indicators relative to the fitted statistics, which are numbers or columns of ``df``."""
     have, new = set(df.columns), {}
     known = {**UNFITTED, **stats}
+
+    def positive(v) -> bool:
+        return isinstance(v, Column) or (v is not None and v > 0)
+
     if "barometer" in have:
         std = known["barometer_std"]
-        new["barometer_norm"] = ((F.col("barometer") - F.lit(known["barometer_mean"])) / F.lit(std)
-                                 if std is not None and std > 0 else F.lit(0.0))
+        norm = (F.col("barometer") - F.lit(known["barometer_mean"])) / F.lit(std) if positive(std) else F.lit(0.0)
+        new["barometer_norm"] = F.when(std > 0, norm).otherwise(0.0) if isinstance(std, Column) else norm
     if {"future_expectations", "current_conditions"} <= have:
         new["sentiment_spread"] = F.col("future_expectations") - F.col("current_conditions")
     if "capital_investment_index" in have:
         new["investment_confidence"] = F.col("capital_investment_index") / 100
-    if "diesel_price" in have and known["diesel_mean"] is not None and known["diesel_mean"] > 0:
-        new["diesel_relative"] = F.col("diesel_price") / F.lit(known["diesel_mean"])
+    if "diesel_price" in have and positive(known["diesel_mean"]):
+        mean = F.lit(known["diesel_mean"])
+        new["diesel_relative"] = F.when(mean > 0, F.col("diesel_price") / mean)
     return df.withColumns(new) if new else df
 
 
@@ -222,7 +227,11 @@ class FeaturePipeline:
 
 @dataclass(frozen=True)
 class FittedFeatures:
-    """What ``fit`` learned: scalars, one frequency table, optionally horsepower medians."""
+    """What ``fit`` learned: scalars, one frequency table, optionally horsepower medians.
+
+    ``keys`` names columns of the tables, and of the rows to transform, that tell several fits apart; ``stats`` and ``counts`` are
+    columns then.
+    """
 
     config: FeatureConfig
     stats: dict
@@ -231,6 +240,7 @@ class FittedFeatures:
     sizes: dict                             # bytes per feature
     hp_medians: DataFrame | None = None
     hp_size: int = 0
+    keys: tuple[str, ...] = ()
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.add_horsepower(df)
@@ -244,12 +254,12 @@ class FittedFeatures:
         medians, size = self.hp_medians, self.hp_size
         if medians is None:
             medians, size = horsepower_medians(parsed)
-        return cascade_horsepower(parsed, medians, size, DEFAULT_HORSEPOWER)
+        return cascade_horsepower(parsed, medians, size, DEFAULT_HORSEPOWER, self.keys)
 
     def _with_count(self, df: DataFrame, feature: str) -> DataFrame:
         table = self.levels.filter(F.col("feature") == feature).select(
-            F.col("level").alias(feature), F.col("n").alias(f"_n_{feature}"))
-        return lookup_join(df, table, [feature], self.sizes[feature], weight=f"_n_{feature}")
+            *self.keys, F.col("level").alias(feature), F.col("n").alias(f"_n_{feature}"))
+        return lookup_join(df, table, [*self.keys, feature], self.sizes[feature], weight=f"_n_{feature}")
 
     def add_levels(self, df: DataFrame) -> DataFrame:
         """Volumes from the original keys first, then rare and missing levels become 'other'."""
@@ -262,10 +272,14 @@ class FittedFeatures:
             if feature in present:
                 new["make_volume"] = F.coalesce(f"_n_{feature}", F.lit(1))
                 break
-        has_models = "raw_model" in present and self.counts["raw_model"] > 0
-        new["model_volume"] = F.coalesce("_n_raw_model", F.lit(1)) if has_models else F.lit(1)
+        if "raw_model" in present:          # without any fitted model the count is 1 and its log 0
+            has_models = F.lit(self.counts["raw_model"]) > 0
+            new["model_volume"] = F.when(has_models, F.coalesce("_n_raw_model", F.lit(1))).otherwise(1)
+            log_volume = F.when(has_models, F.log1p("model_volume")).otherwise(0.0)
+        else:
+            new["model_volume"], log_volume = F.lit(1), F.lit(0.0)
         out = out.withColumns(new)
-        logs = {"log_model_volume": F.log1p("model_volume") if has_models else F.lit(0.0)}
+        logs = {"log_model_volume": log_volume}
         if "make_volume" in new:
             logs["log_make_volume"] = F.log1p("make_volume")
         enough = self.config.min_category_frequency

@@ -26,11 +26,12 @@ def median_levels(df: DataFrame, levels: dict, value: str, weight: str | None =
     return found.select("level", "key", F.col("q0").alias("median"), "n_values"), size
 
 
-def join_level(df: DataFrame, medians: DataFrame, size: int, level: str, on: str, name: str) -> DataFrame:
-    """Adds the level's median as column ``name``."""
+def join_level(df: DataFrame, medians: DataFrame, size: int, level: str, on: str, name: str,
+               keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the level's median as column ``name``. ``keys``: columns that tell several sets of medians apart."""
     table = medians.filter(F.col("level") == level).select(
-        F.col("key").alias(on), F.col("median").alias(name), F.col("n_values").alias("_weight"))
-    return lookup_join(df, table, [on], size, weight="_weight").drop("_weight")
+        *keys, F.col("key").alias(on), F.col("median").alias(name), F.col("n_values").alias("_weight"))
+    return lookup_join(df, table, [*keys, on], size, weight="_weight").drop("_weight")
 
 
 def group_median_column(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -112,11 +113,12 @@ def horsepower_medians(df: DataFrame) -> tuple[DataFrame, int]:
     return by_model.unionByName(by_category), max(size_model, size_category)
 
 
-def cascade_horsepower(df: DataFrame, medians: DataFrame, size: int, default: float) -> DataFrame:
+def cascade_horsepower(df: DataFrame, medians: DataFrame, size: int, default: float,
+                       keys: tuple[str, ...] = ()) -> DataFrame:
     filled, found = df, ["horsepower"]
     for level, on in (("model", "make_model_key"), ("category", "raw_category")):
         if on in df.columns:
-            filled = join_level(filled, medians, size, level, on, f"_hp_{level}")
+            filled = join_level(filled, medians, size, level, on, f"_hp_{level}", keys)
             found.append(f"_hp_{level}")
     return filled.withColumn("horsepower", F.coalesce(*found, F.lit(default))).drop(*found[1:])
 

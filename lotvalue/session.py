@@ -74,6 +74,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             system.delete(path, True)
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder for one intermediate table."""
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -81,9 +89,7 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     depend on it, and a real file size that Spark's own broadcast threshold can judge.
     """
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    path = new_path(spark, label)
     if partition_by:
         df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
     else:
