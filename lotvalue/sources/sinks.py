@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .readers import first_existing
+from .manifest import finished, list_inputs, read_manifest, remove, write_manifest
 
 
 def write_training_data(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -24,10 +24,19 @@ def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                  write: Callable[[DataFrame, str], None] = write_training_data) -> DataFrame:
-    """The table at ``path`` if it was written before; otherwise build it, write it and scan it."""
-    found = first_existing(spark, [path])
-    if found is not None:
-        return found
+                  write: Callable[[DataFrame, str], None] = write_training_data, inputs: list[str] | None = None,
+                  params: dict | None = None) -> DataFrame:
+    """The table at ``path`` if it was written to its end before; otherwise build it, write it and scan it.
+
+    With ``inputs`` (paths, wildcards) it also has to be built anew if a file was added, changed or removed, or ``params``
+    changed. The manifest that says so is written last. A table without a manifest counts as written if Spark's own mark of success is there.
+    """
+    files = list_inputs(spark, inputs) if inputs is not None else {}
+    wanted = {"inputs": files, "params": params or {}}
+    known = read_manifest(spark, path)
+    if known == wanted or (known is None and inputs is None and finished(spark, path)):
+        return spark.read.parquet(path)
+    remove(spark, path)
     write(build(), path)
+    write_manifest(spark, path, wanted)
     return spark.read.parquet(path)
