@@ -315,6 +315,17 @@ def imputed_dataset(spark, d):
     return datasets.imputed_lots(i.raw(spark, d, *i.ID, *IMPUTE_COLUMNS), RULE["harvesting"], AS_OF_YEAR, MIN_DATE)
 
 
+@query("imputed_training_dataset", KEY_SPEC + ", price:f4, year:f1, hours:f2, make_model_key:s, region:s, make_name:s, barometer:f4, "
+       "diesel_price:f4, el_nino_phase:f1", _enriched(
+    f"sold_date >= '{MIN_DATE}' AND {_any('raw_category', BY_CATEGORY['harvesting'])} AND price BETWEEN 5000 AND 600000 "
+    "AND make_model_key IS NOT NULL AND region IS NOT NULL").replace("FROM clean WHERE", "FROM imputed_clean WHERE").replace(
+    "AS diesel_price FROM", "AS diesel_price, e.phase AS el_nino_phase FROM")
+    + f" LEFT JOIN el_nino AS e ON make_date(e.year, e.month, 1) = {MONTH}")
+def imputed_training_dataset(spark, d):
+    catalog = roles.catalog(spark, d, [*i.ID, *IMPUTE_COLUMNS])
+    return datasets.imputed_dataset(catalog, RULE["harvesting"], AS_OF_YEAR, roles.FUTURE_SYMBOLS, MIN_DATE)
+
+
 @query("imputed_coverage", "field:s, coverage_pct:f4", coverage_rows("imputed_clean", ["year", "hours"]))
 def imputed_coverage(spark, d):
     return impute.coverage(impute.clean_with_imputation(i.raw(spark, d, *IMPUTE_COLUMNS), AS_OF_YEAR),

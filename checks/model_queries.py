@@ -9,8 +9,9 @@ from lotvalue.operators import cleaning, evaluate, forest, profiling, routing, t
 from lotvalue.operators.training import TrainingConfig, train_model
 from lotvalue.plans import fanout
 from lotvalue.plans.batch_valuation import value_requests
-from lotvalue.session import materialize
+from lotvalue.session import materialize, new_path
 from lotvalue.sources import roles
+from lotvalue.streaming import monitoring
 
 from . import inputs as i
 from .registry import query
@@ -243,16 +244,33 @@ def ensemble(spark, d):
     return routing.ensemble(rows.select(*i.TIES, F.inline(methods)), i.TIES)
 
 
-@query("prediction_monitor", "make_key:s, n:i, rmse:f3, mape:f4, r2:f5", """
+MONITOR_SQL = """
     SELECT make_key, count(*) AS n, sqrt(avg((price - prediction) * (price - prediction))) AS rmse,
         avg(abs(price - prediction) / abs(price)) * 100 AS mape,
         1 - sum((price - prediction) * (price - prediction)) / nullif(var_pop(price) * count(price), 0) AS r2
-    FROM scored WHERE split = 'test' GROUP BY 1""")
+    FROM scored WHERE split = 'test' GROUP BY 1"""
+
+
+@query("prediction_monitor", "make_key:s, n:i, rmse:f3, mape:f4, r2:f5", MONITOR_SQL)
 def prediction_monitor(spark, d):
     logged = i.scored(spark, d).filter("split = 'test'").select(*i.TIES, "make_key", "prediction")
     return valuation.monitor(logged, i.lots(spark, d, *i.TIES).select(*i.TIES, "price"), i.TIES, ["make_key"])
 
 
+@query("prediction_monitor_stream", "make_key:s, n:i, rmse:f3, mape:f4, r2:f5", MONITOR_SQL)
+def prediction_monitor_stream(spark, d):
+    """The same from a prediction log and a feed of sales, read as streams until both are used up."""
+    scored = i.scored(spark, d).filter("split = 'test'")
+    at = F.col("sold_date").cast("timestamp")
+    log, feed = new_path(spark, "prediction-log"), new_path(spark, "sales")
+    valuation.log_predictions(scored.select(*i.TIES, "make_key", "prediction", (at - F.expr("INTERVAL 1 DAY")).alias("predicted_at")), log, "one")
+    scored.select(*i.TIES, "price", at.alias("sold_at")).write.parquet(feed)
+    streams = [spark.readStream.schema(spark.read.parquet(p).schema).parquet(p) for p in (log, feed)]
+    out = new_path(spark, "monitor")
+    monitoring.monitor_stream(*streams, i.TIES, ["make_key"], out, new_path(spark, "monitor-checkpoint")).awaitTermination()
+    return monitoring.monitored(spark, out, ["make_key"])
+
+
 # -- trained models: checked by row counts and by the tests ----------------------------------------------------
 
 CONFIG = TrainingConfig()

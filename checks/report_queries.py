@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotvalue.operators import profiling, ranking
+from lotvalue.operators import profiling, ranking, states
+from lotvalue.session import materialize
 from lotvalue.sources import roles
 
 from . import inputs as i
@@ -167,6 +168,60 @@ def age_histogram(spark, d):
     return profiling.histogram(add_age_and_use(i.lots(spark, d, "year", "hours")), F.col("equipment_age"), 50)
 
 
+@query("hours_per_year_histogram", HISTOGRAM_SPEC, histogram_rows(
+    "equipped", "hours_per_year", "hours_per_year IS NOT NULL", 50))
+def hours_per_year_histogram(spark, d):
+    from lotvalue.operators.features import add_age_and_use
+    return profiling.histogram(add_age_and_use(i.lots(spark, d, "year", "hours")), F.col("hours_per_year"), 50)
+
+
+@query("make_volume_histogram", HISTOGRAM_SPEC, histogram_rows(
+    "(SELECT ln(1 + coalesce(count(make_model_key) OVER (PARTITION BY make_model_key), 1)) AS volume, make_model_key FROM lots)",
+    "volume", "make_model_key IS NOT NULL", 50))
+def make_volume_histogram(spark, d):
+    from lotvalue.operators.features import FeaturePipeline
+    lots = i.lots(spark, d, "make_model_key").filter("make_model_key IS NOT NULL").select("make_model_key")
+    fitted = FeaturePipeline().fit(lots)
+    return profiling.histogram(fitted.add_levels(lots), F.col("log_make_volume"), 50)
+
+
+@query("distinct_by_range", "first_year:i, last_year:i, feature:s, n_exact:i, within_error:i", """
+    SELECT r.first_year, r.last_year, v.feature, count(DISTINCT v.level) AS n_exact, 1 AS within_error
+    FROM (SELECT DISTINCT year(sold_date) AS first_year, (SELECT max(year(sold_date)) FROM lots) AS last_year FROM lots) AS r
+    JOIN (SELECT year(sold_date) AS y, 'make_model_key' AS feature, make_model_key AS level FROM lots
+          UNION ALL SELECT year(sold_date), 'region', region FROM lots) AS v ON v.y BETWEEN r.first_year AND r.last_year
+    GROUP BY ALL""")
+def distinct_by_range(spark, d):
+    """Distinct values from each year to the last: exact, and whether the merged sketches are within three standard errors."""
+    names = ["make_model_key", "region"]
+    lots = i.lots(spark, d, "sold_date", *names).withColumn("year", F.year("sold_date")).select("year", *names)
+    stored = materialize(states.distinct_states(lots, "year", names), "distinct-states")
+    years = stored.select("year").distinct()
+    ranges = years.select(F.col("year").alias("first_year")).crossJoin(F.broadcast(years.agg(F.max("year").alias("last_year"))))   # one row
+    inside = F.col("year").between(F.col("first_year"), F.col("last_year"))
+    estimated = states.merge_distinct(stored.join(F.broadcast(ranges), inside), ["first_year", "last_year"])        # one row per year
+    pairs = lots.unpivot(["year"], names, "feature", "level").filter("level IS NOT NULL").distinct()
+    exact = pairs.join(F.broadcast(ranges), inside).groupBy("first_year", "last_year", "feature").agg(
+        F.count_distinct("level").alias("n_exact"))
+    error = 3 * 1.04 / 2 ** (states.LG_BUCKETS / 2)
+    return exact.join(estimated, ["first_year", "last_year", "feature"]).withColumn(
+        "within_error", (F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.ceil(F.col("n_exact") * error)).cast("int"))
+
+
+@query("merged_fit_stats", "barometer_mean:f4, barometer_std:f4, diesel_mean:f4", "SELECT * FROM stats")
+def merged_fit_stats(spark, d):
+    """Merged from the stored states of every sale year."""
+    lots = i.training(spark, d).withColumn("year", F.year("sold_date"))
+    return states.merged_fit(materialize(states.moment_states(lots, "year", ["barometer", "diesel_price"]), "moment-states"))
+
+
+@query("merged_frequencies", "feature:s, level:s, n:i", "SELECT * FROM levels")
+def merged_frequencies(spark, d):
+    wanted = ["make_model_key", "region", "raw_category", "raw_model"]
+    lots = i.lots(spark, d, *wanted).withColumn("year", F.year("sold_date"))
+    return states.merge_levels(materialize(states.level_states(lots, "year", wanted), "level-states"))
+
+
 @query("region_boxplot", "region:s, n:i, q1:f6, median:f6, q3:f6, whisker_low:f3, whisker_high:f3, outliers:i", """
     SELECT region, q1, median, q3, count(*) AS n, min(price) FILTER (price BETWEEN lo AND hi) AS whisker_low,
         max(price) FILTER (price BETWEEN lo AND hi) AS whisker_high, count(*) FILTER (price < lo OR price > hi) AS outliers
@@ -179,9 +234,10 @@ def region_boxplot(spark, d):
                               "region", "price")
 
 
-@query("dataset_summary", "n_rows:i, min_price:f3, max_price:f3, median_price:f6, first_date:d, last_date:d",
+@query("dataset_summary", "n_rows:i, min_price:f3, max_price:f3, median_price:f6, first_date:d, last_date:d, "
+       "min_log_price:f6, max_log_price:f6",
        "SELECT count(*) AS n_rows, min(price) AS min_price, max(price) AS max_price, median(price) AS median_price, "
-       "min(sold_date) AS first_date, max(sold_date) AS last_date FROM lots")
+       "min(ln(price)) AS min_log_price, max(ln(price)) AS max_log_price, min(sold_date) AS first_date, max(sold_date) AS last_date FROM lots")
 def dataset_summary(spark, d):
     return profiling.dataset_summary(i.lots(spark, d))
 
@@ -192,6 +248,12 @@ def makes_overview(spark, d):
     return profiling.makes_overview(roles.makes(spark, d))
 
 
+@query("makes_sample", "make_key:s, name:s, still_in_business:i, headquarters_country_iso_2:s, production_year_start:i, production_year_end:i",
+       "SELECT * FROM makes ORDER BY make_key, name LIMIT 10")
+def makes_sample(spark, d):
+    return profiling.makes_sample(roles.makes(spark, d))
+
+
 def _lists() -> str:
     parts = []
     for kind, column in (("make", "make_key"), ("region", "region")):

@@ -58,3 +58,9 @@ def imputed_lots(auctions: DataFrame, rule: CategoryRule, as_of_year: int,
                  min_date: str | None = TRAINING_START) -> DataFrame:
     cleaned = clean_with_imputation(auctions, as_of_year)
     return require_complete(filter_category(_since(cleaned, min_date), rule), IMPUTED_FIELDS)
+
+
+def imputed_dataset(catalog: Catalog, rule: CategoryRule, as_of_year: int, symbols: list[str] | None = None,
+                    min_date: str | None = TRAINING_START) -> DataFrame:
+    """Imputed lots of a category with makes and the monthly series joined: what imputed models are trained on."""
+    return enrich(imputed_lots(catalog.auctions, rule, as_of_year, min_date), catalog, symbols)

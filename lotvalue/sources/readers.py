@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, DoubleType, StringType, StructType
 
 from ..functions.columns import coerce_number
 from ..schemas import AUCTIONS, BAROMETER, DIESEL, EL_NINO, FUTURES, MAKES, Catalog
 
+SMALL_FILE = 4 * 1024 * 1024        # not split by any scan
+
 
 def read_delimited(spark: SparkSession, path, schema: StructType | None, sep: str = "\t") -> DataFrame:
     reader = spark.read.option("sep", sep).option("header", True).option("mode", "PERMISSIVE")
@@ -42,11 +46,16 @@ def typed(raw: DataFrame, schema: StructType | None) -> DataFrame:
         for c in raw.columns])
 
 
-def expand(spark: SparkSession, path: str) -> list[str]:
-    """The files or folders that a path with wildcards names, sorted, on whatever file system it is."""
+def expand_sized(spark: SparkSession, path: str) -> dict[str, int]:
+    """The files or folders that a path with wildcards names, on whatever file system it is, and their bytes (0 for folders)."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return sorted(s.getPath().toString() for s in system.globStatus(hadoop) or ())
+    return {s.getPath().toString(): s.getLen() if s.isFile() else 0 for s in system.globStatus(hadoop) or ()}
+
+
+def expand(spark: SparkSession, path: str) -> list[str]:
+    """The files or folders that a path with wildcards names, sorted."""
+    return sorted(expand_sized(spark, path))
 
 
 def first_match(spark: SparkSession, path: str) -> str:
@@ -70,18 +79,67 @@ def read_parts(spark: SparkSession, paths: list[str], fmt: str, schema: StructTy
     Wildcards are expanded first, because one scan takes the columns of all its files from the first of them. Parts
     with the same columns are one scan, so a thousand parts of one layout are one scan, too.
     """
-    files = sorted({f for p in paths for f in expand(spark, p)})
+    sizes = {f: n for p in paths for f, n in expand_sized(spark, p).items()}
+    files = sorted(sizes)
     if not files:
         raise FileNotFoundError(f"no input parts: {paths}")
-    layouts = defaultdict(list)
-    for f in files:         # one header or footer each
-        raw = spark.read.parquet(f) if fmt == "parquet" else \
-            spark.read.option("sep", "\t" if fmt == "tsv" else ",").option("header", True).csv(f)
-        layouts[tuple(raw.dtypes)].append(f)
+    if fmt == "parquet":
+        try:        # one job reads all footers; a column that a part lacks is NULL there
+            return typed(spark.read.option("mergeSchema", True).parquet(*files), schema)
+        except (PySparkException, Py4JJavaError) as conflict:      # a column of another type in some part
+            if "CANNOT_MERGE" not in str(conflict):
+                raise
+        layouts = defaultdict(list)
+        for f in files:
+            layouts[tuple(spark.read.parquet(f).dtypes)].append(f)
+    else:
+        layouts = header_layouts(spark, sizes)
     parts = [read_table(spark, some, fmt, schema) for some in layouts.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def header_layouts(spark: SparkSession, sizes: dict[str, int]) -> dict[str, list[str]]:
+    """Files of delimited text (name -> bytes) by their first line, in one job for small files and one for large ones.
+
+    Small files are read many to a task; a large one is a task of its own, which stops after the first line.
+    """
+    large = sorted(f for f, n in sizes.items() if n > SMALL_FILE)
+    small = sorted(set(sizes) - set(large))
+
+    def first_lines(batches):
+        seen = set()
+        for b in batches:
+            new = [i for i, f in enumerate(b.column("file").to_pylist()) if f not in seen and not seen.add(f)]
+            if new:
+                yield b.take(new)
+
+    def first_line(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.slice(0, 1)
+                return
+
+    def lines(some: list[str], keep) -> list:
+        first_block = F.col("_metadata.file_block_start") == 0
+        rows = spark.read.text(some).filter(first_block).select(F.input_file_name().alias("file"), "value")
+        return rows.mapInArrow(keep, "file string, value string").collect() if some else []      # one row per file
+
+    whole = {"spark.sql.files.maxPartitionBytes": str(1 << 50), "spark.sql.files.openCostInBytes": str(1 << 50),
+             "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+    found, before = lines(small, first_lines), {k: spark.conf.get(k) for k in whole}
+    try:
+        for k, v in whole.items():
+            spark.conf.set(k, v)
+        found += lines(large, first_line)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    layouts = defaultdict(list)
+    for r in sorted(found):
+        layouts[r["value"].rstrip("\r")].append(unquote(r["file"]))
+    return layouts
+
+
 def read_barometer(spark, path, fmt="tsv") -> DataFrame:
     return read_table(spark, path, fmt, BAROMETER)
 

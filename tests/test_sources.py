@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 
 import pytest
 
@@ -82,3 +83,47 @@ def test_fallback_and_build_once(spark, tmp_path):
     assert readers.first_existing(spark, [str(tmp_path / "nope"), path]).count() == 2
     sinks.write_features(again, str(tmp_path / "features"))
     assert spark.read.parquet(str(tmp_path / "features")).count() == 2
+
+
+def _jobs(spark, work):
+    group = f"layouts-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    out = work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_many_parts_of_few_layouts_take_a_constant_number_of_jobs(spark, tmp_path, monkeypatch):
+    headers = ["price\tregion", "region\tprice", "price\tyear\tregion"]
+
+    def parts(name, n):
+        folder = tmp_path / name
+        folder.mkdir()
+        for k in range(n):
+            values = {"price": str(k), "region": f"r{k}", "year": "2001"}
+            names = headers[k % 3].split("\t")
+            (folder / f"auction_results_part{k}.csv").write_text(headers[k % 3] + "\n" + "\t".join(values[c] for c in names) + "\n")
+        return [f"{folder}/auction_results_part*.csv"]
+
+    few, many = parts("few", 120), parts("many", 2000)
+    small, n_small = _jobs(spark, lambda: readers.read_parts(spark, few, "tsv"))
+    large, n_large = _jobs(spark, lambda: readers.read_parts(spark, many, "tsv"))
+    assert n_small == n_large < 12
+    assert small.count() == 120 and large.count() == 2000
+    row = large.agg({"price": "sum", "year": "count"}).first()
+    assert row["sum(price)"] == sum(range(2000)) and row["count(year)"] == len(range(2, 2000, 3))
+    assert large.filter("region = concat('r', cast(price AS int))").count() == 2000
+    monkeypatch.setattr(readers, "SMALL_FILE", 10)          # each file is a task of its own now
+    again = readers.header_layouts(spark, readers.expand_sized(spark, few[0]))
+    assert {h: len(f) for h, f in again.items()} == {h: 40 for h in headers}
+
+
+def test_parquet_parts_with_other_columns_and_types(spark, tmp_path):
+    for k in range(40):
+        df = spark.createDataFrame([(float(k), "a")], "price double, region string")
+        (df if k % 2 else df.drop("region")).write.parquet(str(tmp_path / f"p{k}"))
+    out, jobs = _jobs(spark, lambda: readers.read_parts(spark, [f"{tmp_path}/p*"], "parquet"))
+    assert out.count() == 40 and out.filter("region IS NULL").count() == 20 and jobs < 6
+    spark.createDataFrame([("12d", "b"), ("7", "b")], "price string, region string").write.parquet(str(tmp_path / "odd"))
+    mixed = readers.read_parts(spark, [f"{tmp_path}/p*", f"{tmp_path}/odd"], "parquet")
+    assert dict(mixed.dtypes)["price"] == "double" and mixed.count() == 42 and mixed.filter("region = 'b' AND price IS NULL").count() == 1

@@ -101,7 +101,24 @@ def test_rank_error_of_merged_quantiles_in_every_group(lots, k, error):
             if own:
                 below, upto = sum(v < q for v in own) / len(own), sum(v <= q for v in own) / len(own)
                 assert below - error <= p <= upto + error, (r, p)
-    assert make_stats(lots).count() > 0
+
+
+def test_reports_by_sketch_write_no_value_counts(lots, monkeypatch):
+    """Every group of ``make_stats``: counts are exact, medians are within the rank error, and no table is written."""
+    from lotvalue.operators import profiling, quantiles
+    exact = {r.make_key: r for r in make_stats(lots, top=1000).collect()}
+    monkeypatch.setattr(quantiles, "materialize", None)
+    near = {r.make_key: r for r in make_stats(lots, top=1000, approximate=True).collect()}
+    assert set(near) == set(exact) and all(near[k].n_sales == exact[k].n_sales for k in exact)
+    for r in lots.filter("price > 0").groupBy("make_key").agg(F.sort_array(F.collect_list("price")).alias("p")).collect():
+        if r.make_key in near:
+            q = near[r.make_key].median_price
+            assert sum(p < q - 1 for p in r.p) / len(r.p) <= 0.52 and sum(p > q + 1 for p in r.p) / len(r.p) <= 0.52
+    assert profiling.regional_stats(lots.withColumn("region", F.col("make_key")), approximate=True).count() == len(exact)
+    assert profiling.yearly_sales(lots, approximate=True).count() == profiling.monthly_sales(lots, approximate=True).select(
+        F.year("month")).distinct().count()
+    counts = {r.field: r.n_distinct for r in profiling.distinct_counts(lots, ["make_key"], approximate=True).collect()}
+    assert counts["make_key"] == pytest.approx(len(exact), abs=1)
 
 
 # -- manifests -------------------------------------------------------------------------------------------------
