@@ -1,11 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of text blocks, each with its tag path: the block elements from the root down, with their class
-names. What is a menu, form, advert, notice and the like by its element or role is left out first. So is what a whole class or id
-names so, unless it holds most of the page's text or its largest article; a part of a name only lowers a ratio. Text length and punctuation are summed per path and divided by its number of blocks; the fused ratios are smoothed along the
+names. What is a menu, advert, notice and the like by its element or role is left out first. So is what a whole class or id
+names so, unless it holds most of the page's text or its largest article, and a form, unless the whole page is one; a part of a name only lowers a ratio. Text length and punctuation are summed per path and divided by its number of blocks; the fused ratios are smoothed along the
 page, and paths whose blocks stay under a share of their standard deviation are no content. The blocks that are content span
 a container; everything that stands in it is kept (of an article or main element in which the ratios chose a block, all of it), so a short paragraph or a heading between long ones is not lost.
-Every page is read by itself in one task; nothing grows with the number of pages.
+Every page is read by itself in one task; nothing grows with the number of pages. Elements point to their parents, so that time
+and memory grow with the length of a page, however deep it is.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe xmp svg math object canvas audio video select".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
              "small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = set("head nav footer aside form button fieldset dialog menu".split()) | RAW
-ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar "
+LEFT_OUT = set("head nav footer aside button dialog menu".split()) | RAW
+#: Left out unless they hold the largest article, or, on a page without one, most of the text.
+FORMS = {"form", "fieldset"}
+ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar "
             "tablist tooltip status".split())
 #: Names that mark what surrounds an article: a class or id all of whose words are among them.
 NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav "
@@ -77,35 +81,82 @@ def _left_out(tag: str, given: dict[str, str], inside: bool) -> bool:
         or bool(re.search(r"display\s*:\s*none", given.get("style", "")))
 
 
-def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple[tuple[int, float], ...]]]:
-    """(path, text, characters within links, names) of the text blocks that are not left out, in page order.
+@dataclass
+class Page:
+    """Elements in the order in which they open, by number, and the text blocks that are not left out, in page order.
 
-    A path is a tuple of (name, number of the element), so that equal names tell ratios and numbers tell containers. Names are
-    the (number, weight) of the elements around the block whose names speak against it.
+    Element 0 stands for the page. A block belongs to the innermost block element around it; ``inner`` is the innermost element at all.
     """
-    stack: list[tuple[str, str, int, bool, float, bool]] = []   # tag, name, number, left out, weight by names, is a link
-    out, words, linked, number, links = [], [], 0, 0, 0
-    at = 0
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    weight: list[float] = field(default_factory=lambda: [1.0])      # by names
+    form: list[bool] = field(default_factory=lambda: [False])
+    path: list[int] = field(default_factory=lambda: [0])            # number of the tag path; equal paths are one
+    article: list[int] = field(default_factory=lambda: [0])         # the outermost article or main element around, or 0
+    text: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)                 # characters within links
+    inner: list[int] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)
+
+    def summed(self, values: list[int], at: list[int]) -> list[int]:
+        """Per element the sum of the values of the blocks in it."""
+        out = [0] * len(self.parent)
+        for e, v in zip(at, values):
+            out[e] += v
+        for e in range(len(out) - 1, 0, -1):                        # an element opens after its parent
+            out[self.parent[e]] += out[e]
+        return out
+
+    def __getitem__(self, k: int) -> tuple[int, str, int]:
+        """Of block ``k`` the number of its tag path, the text, and the characters within links."""
+        return self.path[self.block[k]], self.text[k], self.linked[k]
+
+    def ancestors(self, e: int) -> set[int]:
+        out = set()
+        while e:
+            out.add(e)
+            e = self.parent[e]
+        return out
+
+
+def blocks(page: str) -> Page:
+    found, paths = Page(), {}
+    stack: list[tuple[str, int, bool, bool]] = []           # tag, number, left out, is a link
+    around, blocked = [0], [0]                              # innermost element, innermost block element
+    opened: dict[str, list[int]] = defaultdict(list)        # by tag the places of open elements in the stack
+    words, linked, links, at = [], 0, 0, 0
 
     def flush():
         nonlocal words, linked
         text = " ".join("".join(words).split())
         if text:
-            out.append((tuple((s[1], s[2]) for s in stack if s[0] not in INLINE), text, linked,
-                        tuple((s[2], s[4]) for s in stack if s[4] < 1)))
+            found.text.append(text)
+            found.linked.append(linked)
+            found.inner.append(around[-1])
+            found.block.append(blocked[-1])
         words, linked = [], 0
 
     def pop_to(k):
         nonlocal links
         if any(s[0] not in INLINE for s in stack[k:]):
             flush()
-        links -= sum(s[5] for s in stack[k:])
+        for tag, _, _, link in stack[k:]:
+            links -= link
+            opened[tag].pop()
+            around.pop()
+            if tag not in INLINE:
+                blocked.pop()
         del stack[k:]
 
+    def last(tags):
+        """Place of the innermost open element of these tags."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=None)
+
     while at < len(page):
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not (stack and stack[-1][3]):
+        if end > at and not (stack and stack[-1][2]):
             text = html.unescape(page[at:end])
             words.append(text)
             if links:
@@ -117,11 +168,11 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple
         if not tag:
             continue
         if m["close"] or m["close2"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = last((tag,))
             if k is not None:
                 pop_to(k)
             continue
-        hidden = bool(stack) and stack[-1][3]
+        hidden = bool(stack) and stack[-1][2]
         if tag in VOID:
             if tag in ("br", "wbr"):
                 words.append(" " if tag == "br" and not hidden else "")
@@ -133,79 +184,77 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int, tuple
             at = close.end() if close else len(page)
             continue
         if tag not in INLINE:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
+            k = last(("p",))
             if k is not None:                               # a block ends an open paragraph
                 pop_to(k)
             if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in STOPS.get(tag, ()):
-                        break
+                k, stop = last(CLOSES[tag]), last(STOPS.get(tag, ()))
+                if k is not None and (stop is None or k > stop):
+                    pop_to(k)
             flush()
         if tag == "a":                                      # ends an open one
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"), None)
+            k = last(("a",))
             if k is not None and all(s[0] in INLINE for s in stack[k:]):
                 pop_to(k)
-        hidden = bool(stack) and stack[-1][3]
+        hidden = bool(stack) and stack[-1][2]
         given = _attributes(m["rest"] or "")
-        inside = any(s[0] in ("article", "main") for s in stack)
-        number += 1
+        inside = bool(opened["article"] or opened["main"])
         link = tag == "a" and "href" in given
         links += link
         name = f"{tag}.{given['class'].strip()}" if given.get("class") else tag
-        stack.append((tag, name, number, hidden or _left_out(tag, given, inside), _named(tag, given, inside), link))
+        up, number = around[-1], len(found.parent)
+        found.parent.append(up)
+        found.tag.append(tag)
+        found.weight.append(_named(tag, given, inside))
+        found.form.append(tag in FORMS or given.get("role", "").lower() == "form")
+        found.article.append(found.article[up] or (number if tag in ("article", "main") else 0))
+        found.path.append(found.path[up] if tag in INLINE else paths.setdefault((found.path[blocked[-1]], name), len(paths) + 1))
+        opened[tag].append(len(stack))
+        stack.append((tag, number, hidden or _left_out(tag, given, inside), link))
+        around.append(number)
+        if tag not in INLINE:
+            blocked.append(number)
     flush()
-    return out
+    return found
 
 
-def weights(found: list) -> np.ndarray:
+def weights(page: Page) -> np.ndarray:
     """The least weight that names give each block.
 
     Names don't count on an element that holds most of the page's text, or the article or main element with the most text. Beside
-    an article, a lone block is not taken for most of the page, as an advert next to a few words would be.
+    an article, a lone block is not taken for most of the page, as an advert next to a few words would be. A form counts for
+    nothing unless it holds that article, or, on a page without one, most of the text.
     """
-    held, blocks_in, marked = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, _, named in found:
-        for number in {n for _, n in path} | {n for n, _ in named}:
-            held[number] += len(text)
-            blocks_in[number] += 1
-        first = _article(path)
-        if first is not None:
-            marked[first] += len(text)
-    best = max(marked, key=marked.get, default=None)
-    around = {n for path, _, _, _ in found for k, (_, n) in enumerate(path) if best in [m for _, m in path[k:]]}
-    half = sum(len(text) for _, text, _, _ in found) / 2
-    return np.array([min([w for n, w in named if n not in around and (held[n] <= half or marked and blocks_in[n] == 1)], default=1.0)
-                     for _, _, _, named in found])
-
-
-def ratios(found: list, weight: np.ndarray) -> np.ndarray:
-    """The fused ratio of each block's path, times its weight."""
+    size = [len(t) for t in page.text]
+    held, blocks_in = page.summed(size, page.inner), page.summed([1] * len(size), page.inner)
+    marked: dict[int, int] = defaultdict(int)
+    for e, n in zip(page.block, size):
+        if page.article[e]:
+            marked[page.article[e]] += n
+    best = max(marked, key=marked.get, default=0)
+    around, half = page.ancestors(best), sum(size) / 2
+    least = [1.0] * len(page.parent)
+    for e in range(1, len(least)):
+        own = page.weight[e]
+        if e in around or held[e] > half and not (marked and blocks_in[e] == 1):
+            own = 1.0
+        if page.form[e] and e not in around and (marked or held[e] <= half):
+            own = 0.0
+        least[e] = min(least[page.parent[e]], own)
+    return np.array([least[e] for e in page.inner])
+
+
+def ratios(page: Page, kept: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The fused ratio of the path of each kept block, times its weight."""
     length, points, n = defaultdict(int), defaultdict(int), defaultdict(int)
-    names = [tuple(x for x, _ in path) for path, *_ in found]
-    for name, (_, text, linked, _) in zip(names, found):
-        length[name] += max(0, len(text) - linked)
-        points[name] += len(POINTS.findall(text))
+    names = [page.path[page.block[k]] for k in kept]
+    for name, k in zip(names, kept):
+        length[name] += max(0, len(page.text[k]) - page.linked[k])
+        points[name] += len(POINTS.findall(page.text[k]))
         n[name] += 1
     return weight * np.array([length[x] / n[x] * (1 + points[x] / n[x]) for x in names])
 
 
-def _article(path) -> int | None:
-    """The number of the outermost article or main element."""
-    return next((n for x, n in path if x.split(".")[0] in ("article", "main")), None)
-
-
-def _linky(found: list) -> np.ndarray:
-    """Blocks that are mostly links, headings aside."""
-    return np.array([2 * linked > len(text) and not _heading(path) for path, text, linked, _ in found])
-
-
-def _heading(path) -> bool:
-    return bool(path) and re.match(r"h[1-6]\b", path[-1][0]) is not None
-
-
 def main_text(page: str | None) -> str:
     """Blocks of the main text, one a line; empty if there are none.
 
@@ -213,17 +262,21 @@ def main_text(page: str | None) -> str:
     'A title\\nFirst & best.\\nSecond.'
     """
     found = blocks((page or "").replace("\0", ""))
-    if not found:
+    if not found.text:
         return ""
     weight = weights(found)
-    found, weight = [x for x, w in zip(found, weight) if w > 0], weight[weight > 0]
-    if not found:
+    blocks_left = np.flatnonzero(weight > 0)
+    if not len(blocks_left):
         return ""
-    of = [_article(path) for path, *_ in found]
-    marked = np.array([x is not None for x in of])
-    linky = _linky(found)
+    weight = weight[blocks_left]
+    block = [found.block[k] for k in blocks_left]
+    size = np.array([len(found.text[k]) for k in blocks_left])
+    heading = np.array([re.fullmatch("h[1-6]", found.tag[e]) is not None for e in block])
+    of = np.array([found.article[e] for e in block])
+    marked = of > 0
+    linky = (2 * np.array([found.linked[k] for k in blocks_left]) > size) & ~heading       # mostly links, headings aside
     list_like = linky & (np.r_[False, linky[:-1]] | np.r_[linky[1:], False])     # runs of two or more
-    fused = ratios(found, np.where(marked, BONUS * weight, weight))
+    fused = ratios(found, blocks_left, np.where(marked, BONUS * weight, weight))
     smooth = np.convolve(np.pad(fused, 1, mode="edge"), KERNEL, mode="valid")
     limit = SHARE * smooth.std()
     passed = (smooth >= limit) & (marked | ~linky)
@@ -231,24 +284,42 @@ def main_text(page: str | None) -> str:
         return ""
     alone = passed & (fused >= limit)                       # not only by what its neighbours lend
     alone = alone if alone.any() else passed
-    size = np.array([len(text) for _, text, _, _ in found])
-    articles = {of[k] for k in np.flatnonzero(alone & marked)}
-    within = np.array([x in articles for x in of]) & marked
-    if articles and BONUS * size[alone & marked].sum() >= size[alone & ~marked].sum():
+    within = np.isin(of, of[alone & marked]) & marked
+    if within.any() and BONUS * size[alone & marked].sum() >= size[alone & ~marked].sum():
         kept = np.flatnonzero(within)                       # an article closes all gaps around what was chosen in it
     else:
         out = marked & ~within                              # articles that the ratios left out, as cards
         chosen = np.flatnonzero((passed | within) & ~out)
-        paths = [found[k][0] for k in chosen]
-        depth = next((d for d in range(min(map(len, paths))) if len({p[d] for p in paths}) > 1), min(map(len, paths)))
-        top = paths[0][:depth]
-        loose = not top or top[-1][0].split(".")[0] in ("html", "body")      # the whole page is no container of an article
-        held = [k for k, (path, *_) in enumerate(found) if path[:depth] == top and not (out[k] or loose and list_like[k])]
-        first = chosen[0]
-        while first - 1 in held and _heading(found[first - 1][0]):
+        ends = [block[k] for k in chosen]
+        top = _container(found, min(ends), max(ends))
+        loose = found.tag[top] in ("", "html", "body")      # the whole page is no container of an article
+        after = _next_outside(found, top)
+        held = [k for k, e in enumerate(block) if top <= e < after and not (out[k] or loose and list_like[k])]
+        first, inside = chosen[0], set(held)
+        while first - 1 in inside and heading[first - 1]:
             first -= 1                                      # headings right before the first content
         kept = [k for k in held if first <= k <= chosen[-1]]
-    return "\n".join(found[k][1] for k in kept)
+    return "\n".join(found.text[blocks_left[k]] for k in kept)
+
+
+def _container(page: Page, a: int, b: int) -> int:
+    """The innermost block element around both ``a`` and ``b``; around all elements that open between them, too."""
+    above = page.ancestors(a)
+    while b and b not in above:
+        b = page.parent[b]
+    while page.tag[b] in INLINE:
+        b = page.parent[b]
+    return b
+
+
+def _next_outside(page: Page, top: int) -> int:
+    """The number of the first element that opens after ``top`` and not in it."""
+    inside = {top}
+    for e in range(top + 1, len(page.parent)):
+        if page.parent[e] not in inside:
+            return e
+        inside.add(e)
+    return len(page.parent)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotvalue.llm import htmltext
@@ -91,3 +93,32 @@ def test_ratios_choose_also_among_articles():
     assert read(f"<body><div class=story>{story}</div>{cards}</body>") == want
     assert read(f"<body>{cards}<article>{story}</article>{cards}<div>Imprint and more.</div></body>") == want
     assert read(f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body>") == f"{text}\n{text}"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x " * 20_000, "<table>" + "<div>" * 20_000 + "<td>x" * 20_000, "<li>" + "<div>" * 20_000 + "<ul><li>x</ul>" * 5_000,
+    "<span>" * 20_000 + "x</b>" * 20_000, "<div>" * 20_000 + "</p>x" * 20_000])
+def test_deep_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    assert htmltext.main_text(page)
+    assert time.process_time() - start < 4
+
+
+STORY = "".join(f"<p>Paragraph {k} of the story, with enough words, commas, and full stops to be read.</p>" for k in range(6))
+
+
+def test_a_page_within_one_form_keeps_its_text():
+    marked = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1>{STORY}</article><footer>All rights</footer>"
+    plain = f"<nav><a href=/>Home</a></nav><div class=story><h1>Title</h1>{STORY}</div><footer>All rights</footer>"
+    for body in (marked, plain):
+        alone = htmltext.main_text(f"<html><body>{body}</body></html>")
+        assert alone.startswith("Title\nParagraph 0") and "Home" not in alone and "rights" not in alone
+        for form in ('form id="aspnetForm" method="post"', 'div role="form"'):
+            assert htmltext.main_text(f"<html><body><{form}>{body}</{form.split()[0]}></body></html>") == alone
+
+
+def test_forms_beside_and_within_the_article_go():
+    form = "<form><fieldset><label>Your name, please, and your address. Also this, that, and more.</label><input></fieldset></form>"
+    for body in (f"<article><h1>Title</h1>{STORY}{form}</article>", f"<article><h1>Title</h1>{STORY}</article>{form * 9}",
+                 f"<div class=story><h1>Title</h1>{STORY}</div>{form}"):
+        assert "name" not in htmltext.main_text(f"<html><body>{body}</body></html>")
