@@ -115,7 +115,7 @@ def test_reports_by_sketch_write_no_value_counts(lots, monkeypatch):
             q = near[r.make_key].median_price
             assert sum(p < q - 1 for p in r.p) / len(r.p) <= 0.52 and sum(p > q + 1 for p in r.p) / len(r.p) <= 0.52
     assert profiling.regional_stats(lots.withColumn("region", F.col("make_key")), approximate=True).count() == len(exact)
-    assert profiling.yearly_sales(lots, approximate=True).count() == profiling.monthly_sales(lots, approximate=True).select(
+    assert profiling.yearly_sales(lots, approximate=True).count() == profiling.monthly_sales(lots, "1900-01-01", approximate=True).select(
         F.year("month")).distinct().count()
     counts = {r.field: r.n_distinct for r in profiling.distinct_counts(lots, ["make_key"], approximate=True).collect()}
     assert counts["make_key"] == pytest.approx(len(exact), abs=1)
