@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import time
 
@@ -67,8 +68,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def row_hash(df: DataFrame):
-    """A hash of a whole row, to tell rows apart whose doc_id is equal or null."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """A hash of a whole row, to tell rows apart whose doc_id is equal or null. Maps count as their JSON."""
+    cells = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])     # a hash skips nulls
+    return F.xxhash64(*cells, nulls)
+
+
+#: The columns of ``documents``.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carried(stage):
+    """``stage`` (documents in, documents out) for tables with further columns: these have other names inside it, so that none is taken
+    for a helper column, and their own names again in what it returns."""
+    @functools.wraps(stage)
+    def run(docs: DataFrame) -> DataFrame:
+        inside = {c: f"extra_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        if not inside:
+            return stage(docs)
+        out = stage(docs.select(*[F.col(f"`{c}`").alias(inside.get(c, c)) for c in docs.columns]))
+        return out.select(*[F.col(inside.get(c, c)).alias(c) for c in docs.columns])
+    return run
 
 
 def pick(docs: DataFrame, decided: DataFrame, *extra: str) -> DataFrame:
@@ -83,7 +103,7 @@ def pick(docs: DataFrame, decided: DataFrame, *extra: str) -> DataFrame:
     held = docs.withColumn("_key", row_hash(docs)).join(
         right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
     once = held.where("_n = 1").select(*columns, *names)
-    return once.unionByName(held.where("_n > 1").select(*columns, *names).dropDuplicates())
+    return once.unionByName(held.where("_n > 1").dropDuplicates(["_id", "_key"]).select(*columns, *names))
 
 
 def release(spark: SparkSession) -> None:

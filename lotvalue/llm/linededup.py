@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, row_hash, store
+from .common import carried, release, row_hash, store
 
 TAU = 2
 MIN_BYTES = 32
@@ -250,6 +250,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.coalesce("_links", F.lit(0)).alias("n_links"), F.expr(_KEPT).alias("text"))
 
 
+@carried
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that stay, under the same columns; n_chars, where there is one, follows the text."""
     held = _without(docs, deduplicated(docs)).withColumn("_kept", F.expr(_KEPT))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, row_hash, store
+from .common import carried, pick, row_hash, store, WORD
 
 CAP = 3
 FAN = 4096
@@ -146,6 +146,7 @@ def mix(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
 
+@carried
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``."""
     taken, _ = copies(_sized(docs, row_hash(docs).alias("row")))

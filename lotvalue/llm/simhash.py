@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pick, row_hash, store
+from .common import carried, components, pick, row_hash, store
 
 RADIUS = 3
 SHINGLE = 3
@@ -218,6 +218,7 @@ def _assigned(fps: DataFrame) -> DataFrame:
                     F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+@carried
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of each group of near-duplicates: the row with the smallest doc_id (null last).
 

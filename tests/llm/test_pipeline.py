@@ -104,3 +104,29 @@ def test_stages_take_odd_rows(spark, small, docs):
     corpus_pipeline.STAGES[-1][1](spark, frame, small).count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs([]), small).count() == 0
+
+
+def test_stages_keep_columns_that_are_named_like_helpers(spark, small, docs):
+    from pyspark.sql import functions as F
+    line = "a line of text that is long enough to be told from others, number %d"
+    rows = [(i, "\n".join(line % (i * 7 + k) for k in range(5)) + "\n" + line % 1, "en", f"s{i % 2}") for i in range(12)]
+    rows += [(3, rows[3][1], "en", "s1"), (None, rows[4][1], "en", "s0")]
+    names = ["_key", "_id", "_row", "_n", "_i", "_lines", "_gone", "_kept", "_x_copies", "row", "n", "copies", "fp", "root", "a.b", "_f", "_c0"]
+    plain = docs(rows)
+    odd = plain.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in names],
+                       F.create_map(F.lit("k"), F.col("doc_id")).alias("_map"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = (store(stage(spark, frame, small), "clash") for frame in (plain, odd))
+        assert got.columns == odd.columns and dict(got.dtypes) == dict(odd.dtypes)
+        assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, want.collect())), name
+        assert got.count() > 0
+        for r in got.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c} {r.doc_id}") for c in names) and r["_map"] == {"k": r.doc_id}
+    corpus_pipeline.STAGES[-1][1](spark, odd, small).count()
+
+
+def test_row_hashes_tell_nulls_apart(spark):
+    from lotvalue.llm.common import row_hash
+    df = spark.createDataFrame([("x", None), (None, "x"), ("x", None)], "a string, b string")
+    hashes = [r[0] for r in df.select(row_hash(df)).collect()]
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
