@@ -100,11 +100,13 @@ def _odds(p):
 
 
 def site_posteriors(rows: DataFrame, base: float) -> tuple[DataFrame, float]:
-    """rows (host, path, p) -> per host and path: n, s (sum of p), host_mean; and the strength of a path's prior."""
+    """rows (host, path, p) -> per host and path: n, s (sum of p), host_mean, host_n, host_s, host_k (strength of the host's prior); and
+    the strength of a path's prior."""
     paths = store(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     k = _strength(hosts, F.lit(base))
-    hosts = hosts.select(F.col("host").alias("_host"), ((k * base + F.col("s")) / (k + F.col("n"))).alias("host_mean"))
+    hosts = hosts.select(F.col("host").alias("_host"), ((k * base + F.col("s")) / (k + F.col("n"))).alias("host_mean"),
+                         F.col("n").alias("host_n"), F.col("s").alias("host_s"), F.lit(k).alias("host_k"))
     told = store(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host"), "site_posteriors")
     return told, _strength(told, F.col("host_mean"))
 
@@ -120,12 +122,12 @@ def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     logit = float(np.log(max(base, 1e-6) / max(1 - base, 1e-6)))
     p = 1 / (1 + F.exp(-(margin + logit)))
     sites, k = site_posteriors(slim.where("f[0] > 0").select("host", "path", p.alias("p")), base)
-    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_mean")
+    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_n", "host_s", "host_k")
     rows = with_features(docs).withColumn("f", F.col("_f")).withColumn("_evidence", margin)
     rows = rows.join(sites, col("source").eqNullSafe(F.col("_host")) & col("lang").eqNullSafe(F.col("_path")), "left")
     own = 1 / (1 + F.exp(-(F.col("_evidence") + logit)))
-    rows = rows.withColumn("_prior", F.coalesce(
-        (k * F.col("host_mean") + F.col("s") - own) / (k + F.col("n") - 1), F.lit(base)))
+    host = (F.col("host_k") * base + F.col("host_s") - own) / (F.col("host_k") + F.col("host_n") - 1)     # without the document itself
+    rows = rows.withColumn("_prior", F.coalesce((k * host + F.col("s") - own) / (k + F.col("n") - 1), F.lit(base)))
     score = 1 / (1 + F.exp(-(F.col("_evidence") + _odds(F.col("_prior")))))
     return rows.withColumn("_score", F.when(F.col("f")[0] > 0, score).otherwise(0.0))
 

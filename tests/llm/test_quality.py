@@ -62,3 +62,26 @@ def test_edges(spark, docs):
     none = spark.createDataFrame([], LABELS)
     assert {r.keep for r in quality.judge(docs([(1, "a b")]), none).collect()} == {True}
     assert quality.judge(docs([]), labels).count() == 0
+
+
+def test_priors_equal_plain_sums_without_the_document_itself(spark, small):
+    """Every posterior by plain loops; a document alone on its host has the corpus as its prior."""
+    import math
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    alone = docs.limit(1).withColumns({"doc_id": F.lit(10**9).cast("long"), "source": F.lit("alone"), "text": F.lit("One page, by itself. " * 9)})
+    docs = docs.unionByName(alone)
+    judged = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    rows = [r for r in docs.collect() if judged[r.doc_id].score > 0]
+    known = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None}
+    of_rows = [known[r.doc_id] for r in rows if r.doc_id in known]
+    base = sum(of_rows) / len(of_rows)
+    p = {r.doc_id: 1 / (1 + math.exp(-(judged[r.doc_id].evidence + math.log(base / (1 - base))))) for r in rows}
+    frame = spark.createDataFrame([(r.source, r.lang, p[r.doc_id]) for r in rows], "host string, path string, p double")
+    told, k = quality.site_posteriors(frame, base)
+    host_k = told.first().host_k
+    for r in rows:
+        host = [p[o.doc_id] for o in rows if o.source == r.source and o.doc_id != r.doc_id]
+        path = [p[o.doc_id] for o in rows if o.source == r.source and o.lang == r.lang and o.doc_id != r.doc_id]
+        mean = (host_k * base + sum(host)) / (host_k + len(host))
+        assert judged[r.doc_id].prior == pytest.approx((k * mean + sum(path)) / (k + len(path)), rel=1e-6)
+    assert judged[10**9].prior == pytest.approx(base, rel=1e-6)
