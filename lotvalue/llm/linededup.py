@@ -181,6 +181,11 @@ def links(lines: DataFrame) -> DataFrame:
     met = probe.join(index.hint("shuffle_hash"), "key").where("b is null or a <> b") \
         .select("a", "b", F.when(F.col("b").isNull(), F.col("key")).alias("key"))
     met = store(met, "line_keys")
+    release(lines.sparkSession)
+    # Only lines that met another go on: their text is moved once here, and what is moved below is theirs alone.
+    known = met.where("b is not null").select(F.col("b").alias("id")).unionByName(met.select(F.col("a").alias("id"))).distinct()
+    lines = store(lines.select("id", "line").hint("merge").join(known, "id", "left_semi"), "met_lines")
+    release(lines.sparkSession)
     pairs = met.where("b is not null").select("a", "b").unionByName(_of_hot_keys(met.where("b is null"), lines))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = store(pairs, "line_pairs")
