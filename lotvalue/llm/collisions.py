@@ -91,7 +91,7 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
 
     Queries are the rows whose vec_id is divisible by 20; candidates are all rows but the query's own. Rows with a null id,
     and vectors null, zero or with a null or non-finite component, take no part; shorter vectors count as ending in zeros. A
-    repeated vec_id is a row of its own. Other columns are ignored.
+    repeated vec_id is a row of its own. An empty table, or one without a query, gives no rows. Other columns are ignored.
     """
     rows = valid(vectors, lambda e: e.cast("double"), nonzero=True)
     n, norm, width = rows.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))),

@@ -326,6 +326,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
     A null or empty html gives an empty text; null ids and urls stay; repeated rows are kept; other columns are ignored.
+    Pages are read whole, whatever their length and depth; of articles with equally much text the first counts as the largest. No
+    rows give no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -169,7 +169,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1).
 
     Learns from the rows that are not held out and have a text and a lang. A text that is null or has no letter is ``und``
-    with score 0; without any row to learn from all are. A null doc_id is not held out. Other columns are ignored.
+    with score 0; without any row to learn from all are. A null doc_id is not held out. Texts are read
+    whole; of equal scores the first language by name wins. No rows give no rows. Other columns are ignored.
     """
     known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = docs.sparkSession.sparkContext.broadcast(learn(known.select("text", "lang")))

@@ -248,6 +248,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_links: links of its lines to different lines within ``TAU`` edits. A null text stays null, with no lines; a text that
     loses all its lines becomes empty; rows with a null doc_id come last. Rows equal in every column hold the same lines at the
     same places: what goes from one goes from all of them. Other columns are ignored except to tell rows apart.
+    Lines of any length are compared whole. No rows give no rows.
     """
     return _without(docs, deduplicated(docs)).select(
         "doc_id", F.greatest(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
@@ -257,7 +258,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 @carried
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines that stay, under the same columns; n_chars, where there is one, follows the text."""
+    """``docs`` with the lines that stay, under the same columns; n_chars, where there is one, follows the text.
+
+    Nulls, empty and repeated rows as in ``dedup_lines``; further columns stay as they are, whatever their names. No rows give no rows.
+    """
     held = _without(docs, deduplicated(docs)).withColumn("_kept", F.expr(_KEPT))
     new = {"text": F.col("_kept"), "n_chars": F.when(F.size("_gone") > 0, F.length("_kept").cast("long"))
            .otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}

@@ -138,6 +138,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A null text or one without a word has size 0 and is not taken; a null source is a source of its own; rows with a
     null doc_id are mixed like others. Of equal rows (doc_id, source and size) the copies are dealt out evenly. Other columns are ignored.
+    A text counts whole, however long. No rows give no rows.
     """
     taken, sources = copies(_sized(docs, F.lit(0).cast("long").alias("row")))
     each = taken.join(sources.select("source_no", "source_size", "target"), "source_no") \
@@ -148,7 +149,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 @carried
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``."""
+    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``, whatever their names.
+
+    Texts that are null or have no word are not taken. Rows equal in every column are dealt out together. No rows give no rows.
+    """
     taken, _ = copies(_sized(docs, row_hash(docs).alias("row")))
     rows = pick(docs, taken.where("copies > 0"), "copies")
     return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_x_copies")))).select(*docs.columns)

@@ -137,7 +137,8 @@ def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
 
     Queries are the rows whose vec_id is divisible by 20; candidates are all rows but the query's own. Components become floor(64 x).
     Rows with a null id, and vectors null or with a null or non-finite component, take no part; shorter vectors
-    count as ending in zeros. A repeated vec_id is a row of its own, as query and as candidate. Other columns are ignored.
+    count as ending in zeros. A repeated vec_id is a row of its own, as query and as candidate. An empty table, or one
+    without a query, gives no rows. Products are summed as doubles: scores beyond 2^53 are not exact. Other columns are ignored.
     """
     rows = valid(vectors, lambda e: F.floor(e.cast("double") * 64).cast("double"))
     n, top, width = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)),

@@ -193,7 +193,8 @@ def packed(docs: DataFrame) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is its end token alone. Every row is packed, also with a null or repeated doc_id. Pieces that
-    fill a sequence get one without any search. Other columns are ignored; no rows give no rows.
+    fill a sequence get one without any search. Texts of any length are cut and packed whole. Other columns are ignored; no rows
+    give no rows.
     """
     cut_up = store(pieces(docs), "pieces")
     part = cut_up.where(F.col("length") < LENGTH)

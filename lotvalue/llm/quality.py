@@ -136,7 +136,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, evidence, prior (of its path), score (0 to 1), keep.
 
     A text that is null or has no word scores 0. Rows with a null doc_id or repeated rows are judged like others;
-    columns of other names are ignored. No rows give no rows.
+    columns of other names are ignored. Texts are read whole; a score of exactly ``KEEP`` is kept. No rows give no rows.
     """
     rows = _judged(docs.select("doc_id", "text", "lang", "source"), labels)
     return rows.select(F.col("_c0").alias("doc_id"), F.col("_evidence").alias("evidence"), F.col("_prior").alias("prior"),
@@ -144,6 +144,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score ``KEEP`` or more, with its columns."""
+    """The rows of ``docs`` that score ``KEEP`` or more, with its columns, whatever their names. Nulls, ties and repeated rows as in ``judge``."""
     kept = _judged(docs, labels).where(F.col("_score") >= KEEP)
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

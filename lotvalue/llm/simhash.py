@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null texts and texts without a word have fingerprint zero, which links like any other. Rows with a null doc_id take
     part, but never name a component: component_id is null only if all rows of a component lack a doc_id.
-    Repeated rows are kept. Other columns of ``docs`` are ignored.
+    Repeated rows are kept. Texts are read whole. Other columns of ``docs`` are ignored. No rows give no rows.
     """
     fps = store(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"]),
                 "fingerprints")
@@ -223,7 +223,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of each group of near-duplicates: the row with the smallest doc_id (null last).
 
     Ties go to the smallest hash of the row; of rows that are equal in every column one stays. A group whose rows all
-    lack a doc_id keeps one row, too. Columns are those of ``docs``.
+    lack a doc_id keeps one row, too. Columns are those of ``docs``, whatever their names. Null and empty texts are near-duplicates
+    of each other. No rows give no rows.
     """
     fps = store(fingerprints(docs.select("doc_id", "text", row_hash(docs).alias("row")), ["doc_id", "row"]),
                 "fingerprints")

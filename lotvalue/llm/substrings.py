@@ -393,7 +393,8 @@ def without_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     null unless ``text``).
 
     A null text counts as empty. Rows with a null doc_id and repeated rows are kept; a text that occurs twice is
-    removed whole if it has ``LENGTH`` bytes or more. Other columns of ``docs`` are ignored. No rows give no rows.
+    removed whole if it has ``LENGTH`` bytes or more. Texts of any length are read whole. Other
+    columns of ``docs`` are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *_identity())
