@@ -29,6 +29,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 GROUP = 256
+#: Fingerprints whose variants one task makes.
+SPREAD = 16_384
 BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
 _MOST_AT_ONCE = 100_000
 
@@ -180,7 +182,9 @@ def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints of column ``fp`` exactly as all pairs within 3 bits do."""
-    distinct = fps.where("fp is not null").select("fp").distinct()
+    distinct = store(fps.where("fp is not null").select("fp").distinct(), "distinct_fingerprints")
+    # Few bytes become many rows here, so tasks are counted by rows: sized by bytes, one task would hold far too many.
+    distinct = distinct.repartition(1 + distinct.count() // SPREAD, "fp")
     keyed = distinct.select(F.explode(F.array(*_variants())).alias("key"), "fp")
     met = store(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct(),
                 "met")
