@@ -13,6 +13,7 @@ from pyspark.sql.types import DataType, DoubleType, StringType, StructType
 
 from ..functions.columns import coerce_number
 from ..schemas import AUCTIONS, BAROMETER, DIESEL, EL_NINO, FUTURES, MAKES, Catalog
+from .manifest import list_inputs
 
 SMALL_FILE = 4 * 1024 * 1024        # not split by any scan
 
@@ -93,7 +94,8 @@ def read_parts(spark: SparkSession, paths: list[str], fmt: str, schema: StructTy
         for f in files:
             layouts[tuple(spark.read.parquet(f).dtypes)].append(f)
     else:
-        layouts = header_layouts(spark, sizes)
+        # A part may be a folder of files: each of them is judged by its own size.
+        layouts = header_layouts(spark, {f: n for f, (n, _) in list_inputs(spark, files).items()})
     parts = [read_table(spark, some, fmt, schema) for some in layouts.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

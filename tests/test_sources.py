@@ -57,6 +57,25 @@ def test_wildcard_parts_with_other_columns(spark, tmp_path):
         readers.read_parts(spark, [str(tmp_path / "nothing*.csv")], "tsv")
 
 
+def test_parts_that_are_folders(spark, tmp_path, monkeypatch):
+    """Files in a folder part count by their own sizes, and a layout may differ inside the folder."""
+    folder = tmp_path / "auction_results_part1.csv"
+    folder.mkdir()
+    write(folder / "part-0.csv", "price\thours\tmake_key\n1000\t10\ta\n")
+    write(folder / "part-1.csv", "make_key\tprice\nb\t2000\n" + "c\t3000\n" * 200)
+    write(folder / "_SUCCESS", "")
+    write(tmp_path / "auction_results_part2.csv", "price\tregion\n4000\tr s\n")
+    seen = []
+    inner = readers.header_layouts
+    monkeypatch.setattr(readers, "header_layouts", lambda s, sizes: seen.append(sizes) or inner(s, sizes))
+    monkeypatch.setattr(readers, "SMALL_FILE", 1000)
+    out = readers.read_parts(spark, [str(tmp_path / "auction_results_part*.csv")], "tsv", AUCTIONS)
+    assert out.count() == 203 and out.where("make_key = 'c' and hours is null and price = 3000").count() == 200
+    assert sorted((r.price, r.hours, r.region) for r in out.where("make_key = 'a' or region is not null").collect()) == [
+        (1000.0, 10.0, None), (4000.0, None, "r s")]
+    assert len(seen[0]) == 3 and max(seen[0].values()) > 1000
+
+
 def test_first_export_and_parquet_types(spark, tmp_path):
     write(tmp_path / "makes_1.csv", "name\tmake_key\nFord\tford\n")
     write(tmp_path / "makes_2.csv", "name\tmake_key\nFord\tford\n")
