@@ -229,8 +229,8 @@ class PatientBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Default
         boosted, curve, rounds = boost(dataset.filter(~measures), dataset.filter(measures), self.getLabelCol(), features, self.config())
         attributes = dataset.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
         named = {a["idx"]: a.get("name") for own in attributes.values() for a in own}
-        inputs = [named.get(i) or f"input_{i}" for i in range(boosted.numFeatures)]
-        nodes = forest.export_nodes(dataset.sparkSession, boosted, inputs, rounds)
+        inputs = [named.get(i) or f"input_{i}" for i in range(len(boosted.binning.counts))]
+        nodes = boosted.nodes(dataset.sparkSession, inputs, rounds)
         return self._copyValues(TreeTableModel(nodes, inputs, curve, rounds))
 
 
