@@ -87,7 +87,7 @@ OWNERS = {
     "category": "part", "raw_condition": "orders", "condition": "orders", "state": "nation", "region": "region",
 }
 
-# dimension -> (its key, the key that points at it), in join order
+# dimension -> (its key, the key that points at it)
 DIMENSIONS = {
     "part": ("p_partkey", "l_partkey"),
     "orders": ("o_orderkey", "l_orderkey"),
@@ -145,11 +145,24 @@ def _view(spark: SparkSession, sf_dir: str, available: dict, columns: list[str]
     columns = columns or list(available)
     needed = {dim for c in columns for dim in available[c][1]}
     owned = {c: OWNERS[c] for c in columns if c in OWNERS}
+
+    def dimension(dim: str) -> DataFrame:
+        extra = [f"{available[c][0]} AS {c}" for c, owner in owned.items() if owner == dim]
+        return table(spark, sf_dir, dim).selectExpr("*", *extra)
+
+    def joined(df: DataFrame, dim: str, to: DataFrame) -> DataFrame:
+        key, pointer = DIMENSIONS[dim]
+        return df.join(to, F.col(key) == F.col(pointer), "left")
+
+    # The lots are the widest rows and move as seldom and as narrow as they can: orders get their customers first, the
+    # texts of parts come after, and those of the two smallest tables last.
     df = table(spark, sf_dir, "lineitem")
-    for dim, (key, pointer) in DIMENSIONS.items():
+    if "orders" in needed:
+        orders = dimension("orders")
+        df = joined(df, "orders", joined(orders, "customer", dimension("customer")) if "customer" in needed else orders)
+    for dim in ("part", "nation", "region"):
         if dim in needed:
-            extra = [f"{available[c][0]} AS {c}" for c, owner in owned.items() if owner == dim]
-            df = df.join(table(spark, sf_dir, dim).selectExpr("*", *extra), F.col(key) == F.col(pointer), "left")
+            df = joined(df, dim, dimension(dim))
     return df.selectExpr(*[c if c in owned else f"{available[c][0]} AS {c}" for c in columns])
 
 
