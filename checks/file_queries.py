@@ -115,10 +115,10 @@ def scan_auctioneers(spark, d):
     return readers.read_auctioneers(spark, export(roles.table(spark, d, "supplier"), new_path(spark, "auctioneers"), "tsv"))
 
 
-def export_catalog(spark, sf_dir: str, fmt: str) -> str:
-    """All seven tables under one folder, under the names a catalog is loaded by."""
+def export_catalog(spark, sf_dir: str, fmt: str, lots=None) -> str:
+    """All seven tables under one folder, under the names a catalog is loaded by. ``lots``: the auctions, if they are stored already."""
     folder, extension = new_path(spark, "catalog"), "parquet" if fmt == "parquet" else "csv"
-    lots = i.raw(spark, sf_dir, *LOT_COLUMNS)
+    lots = i.raw(spark, sf_dir, *LOT_COLUMNS) if lots is None else lots
     export(lots, f"{folder}/auction_results_part1.{extension}", fmt)
     for name, role in {"makes_1": roles.makes, "ag_economy_barometers": roles.barometer, "diesel_prices": roles.diesel,
                        "el_nino_readings": roles.el_nino, "future_prices": roles.futures}.items():
@@ -135,9 +135,11 @@ COUNTED = {"auctions": "raw_lots", "makes": "makes", "barometer": "barometer", "
     f"SELECT '{fmt}' AS fmt, '{name}' AS table_name, count(*) AS n_rows FROM {source}"
     for fmt in ("tsv", "parquet") for name, source in COUNTED.items()))
 def load_catalog(spark, d):
-    out = None
-    for fmt in ("tsv", "parquet"):
-        catalog = readers.load_catalog(spark, export_catalog(spark, d, fmt), fmt)
+    """Both formats. The lots are joined once: their text is exported from their Parquet export."""
+    out, stored = None, export_catalog(spark, d, "parquet")
+    lots = spark.read.parquet(f"{stored}/auction_results_part1.parquet")
+    for fmt, folder in (("tsv", export_catalog(spark, d, "tsv", lots)), ("parquet", stored)):
+        catalog = readers.load_catalog(spark, folder, fmt)
         for name in COUNTED:
             rows = getattr(catalog, name).agg(F.count("*").alias("n_rows")).select(
                 F.lit(fmt).alias("fmt"), F.lit(name).alias("table_name"), "n_rows")

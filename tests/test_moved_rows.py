@@ -1,5 +1,6 @@
 """How often lots move: joins at their place in the plan, and exports that are joined once."""
 
+from checks import file_queries
 from lotvalue.sources import roles
 
 
@@ -9,3 +10,11 @@ def test_orders_get_their_customers_before_the_lots_are_joined(spark, sf_dir):
     depth = {key: line.index("Join") for line in plan.splitlines() if "Join LeftOuter" in line
              for key in ("c_custkey", "o_orderkey", "p_partkey", "r_regionkey") if key in line}
     assert depth["r_regionkey"] < depth["p_partkey"] < depth["o_orderkey"] < depth["c_custkey"]
+
+
+def test_both_catalogs_export_lots_that_were_joined_once(spark, sf_dir, monkeypatch):
+    made, real = [], file_queries.i.raw
+    monkeypatch.setattr(file_queries.i, "raw", lambda *a: made.append(a) or real(*a))
+    rows = {(r.fmt, r.table_name): r.n_rows for r in file_queries.load_catalog(spark, sf_dir).collect()}
+    assert len(made) == 1 and len(rows) == 14
+    assert rows["tsv", "auctions"] == rows["parquet", "auctions"] == roles.table(spark, sf_dir, "lineitem").count()
