@@ -16,12 +16,15 @@ SEPARATORS = {"tsv": "\t", "csv": ","}
 
 
 def export(df, path: str, fmt: str) -> str:
-    """A folder of files with headers, or of Parquet; white space and empty texts are kept as they are."""
+    """A folder of files with headers, or of Parquet; white space and empty texts are kept as they are.
+
+    Delimited text is compressed, as large exports are: it is most of what these queries write.
+    """
     if fmt == "parquet":
         df.write.parquet(path)
     else:
         (df.write.option("sep", SEPARATORS[fmt]).option("header", True).option("ignoreLeadingWhiteSpace", False)
-         .option("ignoreTrailingWhiteSpace", False).csv(path))
+         .option("ignoreTrailingWhiteSpace", False).option("compression", "gzip").csv(path))
     return path
 
 

@@ -1,7 +1,7 @@
 """How often lots move: joins at their place in the plan, and exports that are joined once."""
 
 from checks import file_queries
-from lotvalue.sources import roles
+from lotvalue.sources import readers, roles
 
 
 def test_orders_get_their_customers_before_the_lots_are_joined(spark, sf_dir):
@@ -18,3 +18,18 @@ def test_both_catalogs_export_lots_that_were_joined_once(spark, sf_dir, monkeypa
     rows = {(r.fmt, r.table_name): r.n_rows for r in file_queries.load_catalog(spark, sf_dir).collect()}
     assert len(made) == 1 and len(rows) == 14
     assert rows["tsv", "auctions"] == rows["parquet", "auctions"] == roles.table(spark, sf_dir, "lineitem").count()
+
+
+def bytes_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("part-*"))
+
+
+def test_exported_text_is_compressed(spark, tmp_path):
+    """Text was most of what the queries over files wrote."""
+    rows = spark.range(20000).selectExpr("id AS price", "concat(' make-', id % 7) AS make_key", "'' AS raw_price", "cast(NULL AS string) AS state")
+    plain, path = tmp_path / "plain", file_queries.export(rows, f"{tmp_path}/parts.csv", "tsv")
+    rows.write.option("sep", "\t").option("header", True).csv(str(plain))
+    assert bytes_of(tmp_path / "parts.csv") < bytes_of(plain) / 2
+    back = readers.read_parts(spark, [f"{tmp_path}/parts*.csv"], "tsv")
+    assert back.count() == 20000 and back.agg({"price": "sum"}).first()[0] == 20000 * 19999 / 2
+    assert {r[0] for r in back.select("make_key").distinct().collect()} == {f" make-{k}" for k in range(7)}
