@@ -164,14 +164,14 @@ def by_year(table):
 def _training_from_files(spark, d):
     """The training set of the files of a catalog: readers, cleaning, filters and joins."""
     catalog = readers.load_catalog(spark, export_catalog(spark, d, "tsv"), "tsv")
-    return training_dataset(catalog, AS_OF_YEAR, roles.FUTURE_SYMBOLS, min_date=MIN_DATE, min_price=LOW, max_price=HIGH)
+    return training_dataset(catalog, AS_OF_YEAR, roles.FUTURE_SYMBOLS, sinks.by_sale_year, min_date=MIN_DATE, min_price=LOW, max_price=HIGH)
 
 
 @query("training_sink", STORED_SPEC, STORED_SQL.format(where="WHERE year(sold_date) >= 1998"))
 def training_sink(spark, d):
     """Written by sale year; a filter on the year reads no other folder."""
     path = new_path(spark, "training_data")
-    sinks.write_training_data(_training_from_files(spark, d), path)
+    sinks.write_arranged(_training_from_files(spark, d), path)
     return by_year(spark.read.parquet(path).filter("sale_year >= 1998"))
 
 

@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .manifest import finished, list_inputs, read_manifest, remove, write_manifest
 
 
+def by_sale_year(lots: DataFrame) -> DataFrame:
+    """With ``sale_year``, gathered by it: a year's rows are in few tasks, and a year that is too large for one task is split."""
+    return lots.withColumn("sale_year", F.year("sold_date")).hint("rebalance", "sale_year")
+
+
 def write_training_data(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per sale year, so that date filters prune folders.
+    """One folder per sale year, so that date filters prune folders, with few files each."""
+    write_arranged(by_sale_year(df), path, mode)
 
-    The rebalance hint gathers a year's rows into few files and splits a year that is too large for one task.
-    """
-    (df.withColumn("sale_year", F.year("sold_date"))
-       .hint("rebalance", "sale_year")
-       .write.mode(mode).partitionBy("sale_year").parquet(path))
+
+def write_arranged(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``write_training_data`` for rows that were gathered ``by_sale_year`` before the lookup tables made them wide."""
+    df.write.mode(mode).partitionBy("sale_year").parquet(path)
 
 
 def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:

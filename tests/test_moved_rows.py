@@ -33,3 +33,11 @@ def test_exported_text_is_compressed(spark, tmp_path):
     back = readers.read_parts(spark, [f"{tmp_path}/parts*.csv"], "tsv")
     assert back.count() == 20000 and back.agg({"price": "sum"}).first()[0] == 20000 * 19999 / 2
     assert {r[0] for r in back.select("make_key").distinct().collect()} == {f" make-{k}" for k in range(7)}
+
+
+def test_lots_are_gathered_by_year_before_they_are_wide(spark, sf_dir):
+    """Makes and the monthly series are joined to rows that don't move any more."""
+    plan = file_queries._training_from_files(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = next(line.index("Rebalance") for line in lines if "Rebalance" in line)
+    assert at > max(line.index("Join") for line in lines if "Join LeftOuter" in line)
